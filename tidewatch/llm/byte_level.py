@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,7 @@ import numpy as np
 from tidewatch.llm.vocabularies import byte_characters, load, tokenizer_path
 
 #: Chunks that a worker remembers; the older half is forgotten beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 #: The pre-tokenizer's pattern (a fixed value of byte-level vocabularies of this kind).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -57,27 +58,43 @@ class ByteLevelEncoder:
             and before.get("use_regex", True)
         )
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        special = [t["content"] for t in kind.get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = [t["content"] for t in kind.get("added_tokens", [])]
         self.plain = plain
         table, model, find = byte_characters(), self.tok.model, regex.compile(PIECES).findall
 
+        code = "H" if self.dtype.itemsize == 2 else "I"
+
         def piece(p: str) -> bytes:
             mapped = p.encode().decode("latin-1").translate(table)
-            return np.array([t.id for t in model.tokenize(mapped)], dtype=self.dtype).tobytes()
+            return array(code, [t.id for t in model.tokenize(mapped)]).tobytes()
+
+        def join(text: str) -> bytes:
+            return b"".join(map(self.pieces.__getitem__, find(text)))
+
+        def chunk(c: str) -> bytes | None:
+            """Ids of a chunk behind a space; None where white space follows that space."""
+            if c.isalpha():
+                return self.pieces[" " + c]
+            if not c or c[0].isspace():
+                return None
+            if c[-1] in ",." and c[:-1].isalpha():
+                return self.pieces[" " + c[:-1]] + self.pieces[c[-1]]
+            return join(" " + c)
 
         self.pieces = _Memo(piece, REMEMBERED)
-        join = lambda text: b"".join(map(self.pieces.__getitem__, find(text)))
-        self.heads, self.chunks = _Memo(join, REMEMBERED // 8), _Memo(lambda c: join(" " + c), REMEMBERED)
+        self.heads, self.chunks, self.after_space = _Memo(join, REMEMBERED // 8), _Memo(chunk, REMEMBERED), lambda c: join(" " + c)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.plain or _DENSE_SPACE.search(text) or (self.special and self.special.search(text)):
-            ids = self.tok.encode(text, add_special_tokens=False).ids
-            return np.array(ids, dtype=self.dtype).tobytes()
-        head, *rest = text.split(" ")
-        return self.heads[head] + b"".join(map(self.chunks.__getitem__, rest))
+        if self.plain and not any(t in text for t in self.special):
+            head, *rest = text.split(" ")
+            ids = list(map(self.chunks.__getitem__, rest))
+            if None not in ids:
+                return self.heads[head] + b"".join(ids)
+            if not _DENSE_SPACE.search(text):
+                return self.heads[head] + b"".join(self.after_space(c) if i is None else i for c, i in zip(rest, ids, strict=True))
+        return array("H" if self.dtype.itemsize == 2 else "I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -113,14 +113,13 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) ->
     def work(batches):
         import zstandard
 
-        pack, enc = zstandard.ZstdCompressor(level=3), encoder(tokenizer)
+        pack, enc = zstandard.ZstdCompressor(level=1), encoder(tokenizer)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for whole in batches:
             for b in slices(whole, "text"):
                 ids = [enc.encode(t or "") + end for t in b["text"].to_pylist()]
                 n = [len(x) // enc.dtype.itemsize for x in ids]
-                wide = [np.frombuffer(x, enc.dtype).astype("<u4").tobytes() if enc.dtype.itemsize == 4 else x for x in ids]
-                yield {"doc_id": b["doc_id"], "bucket": b["bucket"], "n": n, "zids": [pack.compress(x) for x in wide]}
+                yield {"doc_id": b["doc_id"], "bucket": b["bucket"], "n": n, "zids": [pack.compress(x) for x in ids]}
 
     return map_batches(df, work, "doc_id long, bucket int, n long, zids binary")
 
