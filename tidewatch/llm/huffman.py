@@ -154,11 +154,12 @@ def symbol_counts(encoded: DataFrame) -> np.ndarray:
     def work(batches):
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for z, n in zip(b["zids"].to_pylist(), b["n"].to_pylist(), strict=True):
-                c = np.bincount(_ids(z, n))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                total[: len(c)] += c
+            if not b.num_rows:
+                continue
+            c = np.bincount(np.concatenate([_ids(z, n) for z, n in zip(b["zids"].to_pylist(), b["n"].to_pylist(), strict=True)]))
+            if len(c) > len(total):
+                total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
+            total[: len(c)] += c
         ids = np.flatnonzero(total)
         yield {"symbol": ids, "n": total[ids]}
 
