@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "event_type_counts"
+FLAGSHIP = "incident_fold"
 
 
 def _modules():
-    from tidewatch.plans import event_queries
+    from tidewatch.plans import event_queries, relation_queries
 
-    return (event_queries,)
+    return event_queries, relation_queries
 
 
 def queries() -> dict:
