@@ -122,20 +122,21 @@ def _bands(classes: DataFrame) -> DataFrame:
         for b in batches:
             sig = np.frombuffer(b"".join(b["sig"].to_pylist()), "<u2").reshape(b.num_rows, VALUES)
             at = np.repeat(np.arange(b.num_rows), BANDS)
-            yield {
-                "rep": b["rep"].take(at), "size": b["size"].take(at), "sig": b["sig"].take(at),
-                "band": np.tile(np.arange(BANDS), b.num_rows), "bucket": np.ascontiguousarray(sig).view("<i8").reshape(-1),
-            }
+            yield {"rep": b["rep"].take(at), "band": np.tile(np.arange(BANDS), b.num_rows), "bucket": np.ascontiguousarray(sig).view("<i8").reshape(-1)}
 
-    return map_batches(classes.where("size > 0").select("rep", "size", "sig"), work, "rep long, size int, sig binary, band int, bucket long")
+    return map_batches(classes.where("size > 0").select("rep", "sig"), work, "rep long, band int, bucket long")
 
 
 def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(rep, root): representatives and one that they reach over pairs that survive."""
+    """(rep, root): representatives and one that they reach over pairs that survive.
+
+    Narrow rows find the buckets that several share; only rows in those take their signatures along.
+    The joins are hinted to shuffle: their small sides have no bound at any size.
+    """
     entries = _bands(classes)
-    n = _bands(classes).select("band", "bucket").groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    n = entries.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     n = stage(n.select("band", "bucket", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "band-buckets")
-    dealt = entries.join(n, ["band", "bucket"])
+    dealt = entries.join(n.hint("merge"), ["band", "bucket"]).join(classes.select("rep", "size", "sig").hint("merge"), "rep")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     dealt = dealt.withColumn("tile", F.explode(tiles(F.col("block"), F.col("blocks"))))
     dealt = dealt.withColumn("key", F.xxhash64("band", "bucket", "tile"))
