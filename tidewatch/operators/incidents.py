@@ -2,53 +2,66 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW_S = 30 * 60
 CELL_DEGREES = 0.08
 
 
-def fold_segment(pdf: pd.DataFrame, window_s: int = WINDOW_S, reach: float = CELL_DEGREES) -> pd.DataFrame:
+class Fold:
     """Assigns each report, in order, to the newest incident whose anchor is near in time and place.
 
     The anchor is an incident's first report and never moves, so merging does not extend the window.
     Reports without a position join by equal place text within the window.
     """
-    pdf = pdf.sort_values(["t", "id"], kind="stable")
-    open_: list[tuple[float, object, object, object, object]] = []  # anchors still within the window, newest last
-    chosen = []
-    for r in pdf.itertuples():
-        while open_ and open_[0][0] < r.t - window_s:
-            open_.pop(0)
-        hit = None
-        located = pd.notna(r.lat) and pd.notna(r.lon)
-        for t, key, lat, lon, place in reversed(open_):
-            near = located and pd.notna(lat) and ((lat - r.lat) ** 2 + (lon - r.lon) ** 2) ** 0.5 <= reach
-            if near or not located and place is not None and place == r.place:
-                hit = key
-                break
-        if hit is None:
-            hit = r.id
-            open_.append((r.t, r.id, r.lat, r.lon, r.place))
-        chosen.append(hit)
-    return pdf.assign(incident=chosen)[["region", "id", "incident"]]
+
+    def __init__(self, window_s: float = WINDOW_S, reach: float = CELL_DEGREES):
+        self.window_s, self.reach, self.segment = window_s, reach, None
+        self.open: deque = deque()  # anchors still within the window, newest last
+
+    def __call__(self, segment, key, t, lat, lon, place):
+        if segment != self.segment:
+            self.segment = segment
+            self.open.clear()
+        while self.open and self.open[0][0] < t - self.window_s:
+            self.open.popleft()
+        located = lat is not None and lon is not None
+        for _, incident, alat, alon, aplace in reversed(self.open):
+            if located and alat is not None and math.hypot(alat - lat, alon - lon) <= self.reach or not located and place is not None and place == aplace:
+                return incident
+        self.open.append((t, key, lat, lon, place))
+        return key
 
 
 def cluster(reports: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
     """(region, id, incident) of reports (region, id, t seconds, lat, lon, place).
 
     A region's reports are cut where none came for longer than the window: no incident spans such a
-    gap, so each stretch folds on its own and a busy region is many small groups.
+    gap, so each stretch folds on its own and a busy region is many stretches.
     """
     order = Window.partitionBy("region").orderBy("t", "id")
     gap = F.coalesce(F.col("t") - F.lag("t").over(order) > window_s, F.lit(True)).cast("int")
-    cut = reports.withColumn("_new", gap).withColumn("_segment", F.sum("_new").over(order)).drop("_new")
-    schema = f"region {dict(reports.dtypes)['region']}, id {dict(reports.dtypes)['id']}, incident {dict(reports.dtypes)['id']}"
-    return cut.groupBy("region", "_segment").applyInPandas(lambda pdf: fold_segment(pdf, window_s), schema)
+    cut = reports.withColumn("_new", gap).withColumn("_segment", F.sum("_new").over(order))
+    cut = cut.select("region", "_segment", "t", "id", "lat", "lon", "place").repartition("region", "_segment").sortWithinPartitions("region", "_segment", "t", "id")
+    kinds = dict(reports.dtypes)
+    schema = T.StructType.fromDDL(f"region {kinds['region']}, id {kinds['id']}, incident {kinds['id']}")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Fold(window_s)
+        for b in batches:
+            rows = zip(*(b[c].to_pylist() for c in ("region", "_segment", "id", "t", "lat", "lon", "place")), strict=True)
+            chosen = [fold((region, segment), *rest) for region, segment, *rest in rows]
+            yield pa.RecordBatch.from_arrays([b["region"], b["id"], pa.array(chosen, type=b["id"].type)], names=["region", "id", "incident"])
+
+    return cut.mapInArrow(work, schema)
 
 
 def keep_unseen(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -132,10 +132,11 @@ def release_view(spark, sf):
     released = e.where("event_id % 10 = 0").select("event_id")
     due = e.where((F.col("event_type") != "error") | (F.col("ts") <= now - F.expr("INTERVAL 3 HOURS"))).join(released, "event_id", "left_anti")
     h = F.conv(F.substring(F.sha2(F.concat(F.lit("salt:"), F.col("event_id").cast("string")), 256), 1, 8), 16, 10).cast("long")
+    coarse = lambda x: F.floor(x * 100 + 0.5) / 100.0
     shift = lambda x: (x % 1000 / 1000.0 - 0.5) * 0.04
     lat, lon = F.lit(44.0) + F.col("user_id") % 850 / 100.0, F.lit(22.0) + F.col("user_id") * 7 % 1800 / 100.0
     level = F.when(F.col("value") >= 80, "HIGH").when(F.col("value") >= 50, "MEDIUM").otherwise("LOW")
-    return due.select("event_id", F.round(lat + shift(h), 2).alias("rough_lat"), F.round(lon + shift(F.shiftright(h, 10)), 2).alias("rough_lng"), level.alias("level"))
+    return due.select("event_id", coarse(lat + shift(h)).alias("rough_lat"), coarse(lon + shift(F.shiftright(h, 10))).alias("rough_lng"), level.alias("level"))
 
 
 def lake_upsert(spark, sf):
@@ -230,7 +231,7 @@ ORACLE = {
     "scores": f"WITH s AS (SELECT event_type, greatest(15, least(100, {_SIG}))::DOUBLE AS sig, user_id % 4 AS k, (user_id % 10) / 10.0 AS w, event_type = 'signup' AS o, user_id % 2 = 0 AS p FROM events), c AS (SELECT event_type, sig, CASE WHEN k <= 0 THEN 35 ELSE least(100, CASE WHEN o AND k >= 2 THEN 95 WHEN o THEN 90 WHEN k >= 2 AND w >= 0.8 THEN 85 WHEN k >= 2 THEN 70 WHEN w >= 0.7 THEN 60 ELSE 40 END + CASE WHEN p THEN 8 ELSE 0 END) END AS conf FROM s) SELECT event_type, CASE WHEN conf >= 85 THEN 'VERIFIED' WHEN conf >= 60 THEN 'LIKELY' ELSE 'UNCONFIRMED' END AS tier, count(*) AS n, sum(sig) AS sum_sig, sum(conf)::BIGINT AS sum_conf, sum(greatest(10, least(100, floor(0.55::DOUBLE * sig + 0.45::DOUBLE * conf))))::BIGINT AS sum_comp FROM c GROUP BY 1, 2",
     "reputation": "WITH e AS (SELECT user_id, event_type, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events WHERE event_type IN ('error', 'purchase')), w AS (SELECT user_id, event_type, pow(0.5::DOUBLE, (max(t) OVER (PARTITION BY user_id) - t) / 1814400.0::DOUBLE) AS w FROM e), g AS (SELECT user_id, 2 + sum(CASE WHEN event_type = 'purchase' THEN w ELSE 0 END) AS a, 2 + sum(CASE WHEN event_type = 'error' THEN w ELSE 0 END) AS b FROM w GROUP BY user_id) SELECT user_id, round(a, 4) AS alpha, round(b, 4) AS beta, round(a / (a + b), 4) AS reputation FROM g",
     "evidence_fusion": f"WITH e AS (SELECT user_id, CASE event_type WHEN 'error' THEN 3.0::DOUBLE WHEN 'purchase' THEN 1.5::DOUBLE WHEN 'click' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS r, floor(epoch({_NOW})) - floor(epoch(ts)) AS age FROM events), l AS (SELECT user_id, ln(1 + (r - 1) * exp(-age / 7200.0::DOUBLE)) AS l FROM e WHERE age <= 86400), g AS (SELECT user_id, sum(l) AS s, sum(abs(l)) AS size, max(abs(l)) AS most FROM l GROUP BY user_id) SELECT user_id, round(1 / (1 + exp(-greatest(-30.0, least(30.0, -1.0 + s)))), 4) AS p, round(CASE WHEN size > 0 THEN most / size * 100 END, 2) AS top_share FROM g",
-    "release_view": f"WITH e AS (SELECT event_id, user_id, value, ('0x' || substr(sha256('salt:' || event_id::VARCHAR), 1, 8))::BIGINT AS h FROM events WHERE (event_type <> 'error' OR ts <= {_NOW} - INTERVAL 3 HOUR) AND event_id % 10 <> 0) SELECT event_id, round(44.0::DOUBLE + (user_id % 850) / 100.0::DOUBLE + ((h % 1000) / 1000.0::DOUBLE - 0.5::DOUBLE) * 0.04::DOUBLE, 2) AS rough_lat, round(22.0::DOUBLE + (user_id * 7 % 1800) / 100.0::DOUBLE + (((h >> 10) % 1000) / 1000.0::DOUBLE - 0.5::DOUBLE) * 0.04::DOUBLE, 2) AS rough_lng, CASE WHEN value >= 80 THEN 'HIGH' WHEN value >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM e",
+    "release_view": f"WITH e AS (SELECT event_id, user_id, value, ('0x' || substr(sha256('salt:' || event_id::VARCHAR), 1, 8))::BIGINT AS h FROM events WHERE (event_type <> 'error' OR ts <= {_NOW} - INTERVAL 3 HOUR) AND event_id % 10 <> 0) SELECT event_id, floor((44.0::DOUBLE + (user_id % 850) / 100.0::DOUBLE + ((h % 1000) / 1000.0::DOUBLE - 0.5::DOUBLE) * 0.04::DOUBLE) * 100 + 0.5) / 100.0::DOUBLE AS rough_lat, floor((22.0::DOUBLE + (user_id * 7 % 1800) / 100.0::DOUBLE + (((h >> 10) % 1000) / 1000.0::DOUBLE - 0.5::DOUBLE) * 0.04::DOUBLE) * 100 + 0.5) / 100.0::DOUBLE AS rough_lng, CASE WHEN value >= 80 THEN 'HIGH' WHEN value >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM e",
     "lake_upsert": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(CASE WHEN event_id % 3 = 0 THEN value + 1000 ELSE value END), 2) AS sum_value FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0 GROUP BY 1",
     "retention": f"SELECT CASE WHEN {_NOW} - ts > INTERVAL 90 DAY THEN 'ARCHIVED' ELSE 'OPEN' END AS stage, count(*) AS n FROM events WHERE NOT (value % 100 < 40 AND event_type <> 'error' AND {_NOW} - ts > INTERVAL 24 HOUR) GROUP BY 1",
     "alert_changes": "SELECT region, event_id, before, state FROM (SELECT user_id % 8 AS region, event_id, state, coalesce(lag(state) OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id), 'UNKNOWN') AS before FROM (SELECT *, CASE event_type WHEN 'error' THEN 'ACTIVE' WHEN 'purchase' THEN 'CLEAR' END AS state FROM events) WHERE state IS NOT NULL) WHERE state <> before",
