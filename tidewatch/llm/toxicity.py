@@ -196,9 +196,9 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     model.lookalikes = sorted(w for w in clean if w[-1] != "*" and not docs[w] and match(w))[: 4 * MOST_TERMS]
     scorer = model.scorer()
     x, y = np.array([scorer.features(t) for t, _ in rows]), np.array([float(v) for _, v in rows])
-    prior = np.array([0.0, *PRIOR[1:]])
+    prior = np.array(PRIOR)
     loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.25 * ((w - prior) ** 2).sum()
-    w = np.zeros(x.shape[1])
+    w = prior.copy()
     for _ in range(100):  # Newton's method, steps halved until they help, with a small ridge around the prior weights
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         slope = x.T @ (y - p) - 0.5 * (w - prior)
@@ -229,8 +229,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         model = fit([(t, y) for (_, t), y in sorted(texts.items())])
         yield {"model": [json.dumps([model.terms, model.weights, model.lookalikes])]}
 
-    dealt = rows.select("doc_id", "text", "toxic").coalesce(1) if rows.rdd.getNumPartitions() == 1 else rows.select("doc_id", "text", "toxic").repartition(1)
-    return Model(*json.loads(map_batches(dealt, work, "model string").first()["model"]))
+    found = map_batches(rows.select("doc_id", "text", "toxic").repartition(1), work, "model string").first()
+    return Model(*json.loads(found["model"])) if found else Model()
 
 
 def score_documents(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None) -> DataFrame:
