@@ -153,10 +153,11 @@ def scan_documents(docs: DataFrame, table: list[float] | None = None) -> DataFra
 def mask_documents(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
     """``docs`` with every span found replaced by ``MASK`` and ``n_chars`` counted anew where it changed.
 
-    Rows without secrets stay as they are; a null text stays null; other columns are kept.
+    Rows without secrets stay as they are; a null text stays null; other columns are kept, whatever their names.
     """
     table = table or train(docs)
-    found = with_spans(docs, table).withColumn("_all", _ordered(KINDS))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
+    found = with_spans(whole, table).withColumn("_all", _ordered(KINDS))
     t = F.col("text")
 
     def cut(acc, s):
@@ -167,9 +168,8 @@ def mask_documents(docs: DataFrame, table: list[float] | None = None) -> DataFra
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     masked = F.aggregate("_all", begin, cut, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
     out = found.withColumn("_new", F.when(F.size("_all") > 0, masked).otherwise(t))
-    n = F.when(F.size("_all") > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    new = {"text": F.col("_new")} | ({"n_chars": n} if n is not None else {})
-    return out.withColumns(new).select(*docs.columns)
+    new = {"text": F.col("_new"), "n_chars": F.when(F.size("_all") > 0, F.length("_new").cast("long")).otherwise(F.col("_row")["n_chars"])}
+    return out.select(*((new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def ratios(spark: SparkSession, tokens: list[str], table: list[float]) -> list[float]:
