@@ -263,4 +263,4 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """
     stays = join_documents(docs.where("doc_id is not null"), threshold).where("kept").select("doc_id").distinct()
     one = docs.join(stays.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return one.unionByName(docs.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
