@@ -13,7 +13,7 @@ from tidewatch.sources import feeds
 def test_json_reports_keep_bad_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"channel": "x", "message_id": 1, "ts": "2024-01-01T00:00:00", "text": "t", "fwd_id": 9}\nnot json\n')
     rows = feeds.json_reports(spark, str(tmp_path / "a.json")).select("channel", "source", "bad").collect()
-    assert sorted(map(tuple, rows), key=str) == [(None, None, "not json"), ("x", "9", None)]
+    assert sorted(map(tuple, rows), key=str) == [("x", "9", None), (None, None, "not json")]
 
 
 def test_thermal_csv(spark, tmp_path):

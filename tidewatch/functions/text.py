@@ -23,7 +23,7 @@ def signature(text: Column) -> Column:
 
 
 def handle(name: Column) -> Column:
-    return F.lower(F.ltrim(F.lit("@"), F.trim(name)))
+    return F.lower(F.ltrim(F.trim(name), F.lit("@")))
 
 
 def slug(text: Column, longest: int = 10) -> Column:

@@ -38,7 +38,7 @@ def thermal_csv(spark: SparkSession, path: str, box: tuple[float, float, float,
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of named entries; names are lower-cased without their at sign."""
     rows = spark.read.schema(REGISTRY).option("multiLine", True).json(path)
-    return rows.withColumn("name", F.lower(F.ltrim(F.lit("@"), F.trim("name"))))
+    return rows.withColumn("name", F.lower(F.ltrim(F.trim("name"), F.lit("@"))))
 
 
 def geojson_points(spark: SparkSession, path: str) -> DataFrame:
