@@ -73,6 +73,17 @@ def test_op3_pages(spark):
     assert main_text.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", ['div class="ad"', 'div class="share"', 'div class="notice"', "form", "nav", 'section class="comments"'])
+def test_op3_crosses_what_is_set_apart_in_an_article(spark, part):
+    words = lambda n: " ".join(["word"] * n)
+    aside = f"<{part}><p>{words(60)}</p></{part.split()[0]}>"
+    page = f"<html><body><div>{words(9)}</div><article><h1>{words(8)}</h1>{aside}<p>{words(30)}</p>{aside * 3}<p>{words(10)}</p></article><div>{words(9)}</div></body></html>"
+    plain = f"<html><body><div>{words(9)}</div><article><h1>{words(8)}</h1><p>{words(30)}</p></article><div>{words(9)}</div></body></html>"
+    df = spark.createDataFrame([(0, page), *((i, plain) for i in range(1, 40))], "page_id long, html string").withColumn("url", F.lit("u"))
+    found = {r.page_id: r.text for r in main_text.extract_pages(df).collect()}
+    assert found[0] == "\n".join(words(n) for n in (8, 30, 10)) and found[1] == "\n".join(words(n) for n in (8, 30))
+
+
 def test_op4_with_few_labels(rows, labels):
     found = toxicity.score_documents(rows, labels).collect()
     assert ids(found) == EVERY and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)

@@ -69,7 +69,10 @@ def _apart(name: str, rest: str, in_article: bool) -> bool:
 
 
 def events(page: str):
-    """The page in order: ("tag", name, apart, in_article) and ("text", context, apart, in_article, text, block)."""
+    """The page in order: ("tag", name, apart, in_article) and ("text", context, apart, in_article, text, block).
+
+    The tags that open and close an element apart belong to it.
+    """
     stack: list[tuple[str, bool]] = []
     apart = articles = block = at = 0
     for m in _TOKEN.finditer(page):
@@ -79,7 +82,7 @@ def events(page: str):
         name = m["name"] or m["name2"]
         if not name:
             continue
-        name, rest = name.lower(), m["rest"] or m["rest2"] or ""
+        name, rest, own = name.lower(), m["rest"] or m["rest2"] or "", False
         if name not in INLINE:
             block += 1
         if m["end"] or m["end2"]:
@@ -89,6 +92,7 @@ def events(page: str):
                     apart -= a
                     articles -= n in ARTICLE and not a
                     if n == name:
+                        own = a
                         break
         elif name not in VOID and not rest.endswith("/"):
             if name in BLOCKS:  # a block ends an open paragraph, with what is open in it
@@ -100,7 +104,7 @@ def events(page: str):
             stack.append((name, a))
             apart += a
             articles += name in ARTICLE and not a
-        yield "tag", name if name in BLOCKS or name in INLINE or name in VOID else "other", apart > 0, articles > 0
+        yield "tag", name if name in BLOCKS or name in INLINE or name in VOID else "other", own or apart > 0, articles > 0
     if at < len(page):
         yield "text", _context(stack), apart > 0, articles > 0, page[at:], block
 
@@ -132,9 +136,9 @@ class Weights:
         inside, outside = self.n.get((kind, name, True), 0), self.n.get((kind, name, False), 0)
         return math.log((inside + 0.5) / (outside + 0.5)) if inside + outside >= 20 else None
 
-    def word(self, name: str, apart: bool, outside: bool) -> float:
-        """Words of the page's other parts, and outside a marked article, count against a stretch."""
-        if apart or outside:
+    def word(self, name: str, against: bool) -> float:
+        """Words outside a marked article, or where none is marked of the page's other parts, count against a stretch."""
+        if against:
             return -1.0
         odds = self._odds("word", name)
         return 1.0 if odds is None else min(2.0, max(0.1, odds))
@@ -145,16 +149,21 @@ class Weights:
 
 
 def extract(page: str, weights: Weights) -> str:
-    """Main text of ``page``: its blocks, joined by line feeds."""
+    """Main text of ``page``: its blocks, joined by line feeds.
+
+    What is set apart inside a marked article counts neither way, so that a stretch runs on behind it.
+    """
     seen = list(events(page))
     marked = any(e[3] and e[0] == "text" and not e[2] and e[4].strip() for e in seen)
     best = total = 0.0
     start, found = 0, (0, 0)
     for i, e in enumerate(seen):
+        if marked and e[2] and e[3]:
+            continue
         if e[0] == "tag":
             total += weights.tag(e[1])
         else:
-            total += weights.word(e[1], e[2], marked and not e[3]) * len(e[4].split())
+            total += weights.word(e[1], not e[3] if marked else e[2]) * len(e[4].split())
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
