@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -25,7 +26,7 @@ from tidewatch.llm.byte_level import REMEMBERED, _Memo
 #: Labelled documents of either class that a model is fitted on at most; terms of a lexicon at most (and four times as many lookalikes).
 SAMPLE_TOXIC, SAMPLE_CLEAN, MOST_TERMS = 2000, 4000, 1000
 #: Letters of a term from which one misspelling counts; lengths of stems; continuations that make a stem.
-FUZZY_FROM, STEMS, CONTINUATIONS = 6, (4, 5, 6, 7), 4
+FUZZY_FROM, STEMS, CONTINUATIONS = 4, (4, 5, 6, 7), 4
 #: Code points on either side of a hit that are searched for signs of quotation.
 WINDOW = 80
 
@@ -38,11 +39,13 @@ REPORTING = frozenset(
     "said says say called calls quote quoted quotes wrote writes term word phrase sagte sagt nannte zitat wort dit disait appelle citation mot dijo dice llamó cita palabra".split()
 )
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters with the digits among them, and the letters alone.
+_WORD, _LETTERS = re.compile(r"[^\W\d_](?:[^\W_]*[^\W\d_])?"), re.compile(r"[^\W\d_]+")
 
 
 class LexiconAutomaton:
-    """``match(word)``: 0 for none, 1 for a term or a stem's continuation, 2 for a term misspelled by one edit."""
+    """``match(word)``: 0 for none, 1 for a term or a stem's continuation, 2 for a term misspelled by one edit (a letter more, less or
+    wrong, or two neighbours swapped)."""
 
     def __init__(self, terms: list[str]):
         self.children: list[dict[str, int]] = [{}]
@@ -65,12 +68,12 @@ class LexiconAutomaton:
         self.sure: list[bool] = []
         self.start = self._state(self._skip({(0, 0)}))
 
-    def _skip(self, s: set[tuple[int, int]]) -> frozenset:
+    def _skip(self, s: set[tuple[int, int | str]]) -> frozenset:
         """With one edit left, a letter of the term may be missing from the word."""
         return frozenset(s | {(c, 1) for n, e in s if e == 0 for c in self.children[n].values()})
 
     def _state(self, s: frozenset) -> int:
-        s = frozenset((n, e) for n, e in s if e == 0 or (n, 0) not in s)
+        s = frozenset((n, e) for n, e in s if e != 1 or (n, 0) not in s)
         if s not in self.states:
             self.states[s] = len(self.sets)
             self.sets.append(s)
@@ -84,12 +87,17 @@ class LexiconAutomaton:
     def _step(self, state: int, ch: str) -> int:
         out = set()
         for n, e in self.sets[state]:
+            if isinstance(e, str):  # the second of two swapped letters is due
+                if e == ch:
+                    out.add((n, 1))
+                continue
             child = self.children[n].get(ch)
             if child is not None:
                 out.add((child, e))
             if e == 0:
                 out.add((n, 1))  # a letter too many
                 out.update((c, 1) for c in self.children[n].values())  # a wrong letter
+                out.update((self.children[c][ch], first) for first, c in self.children[n].items() if first != ch and ch in self.children[c])
         return self._state(self._skip(out))
 
     def match(self, word: str) -> int:
@@ -124,7 +132,8 @@ class Scorer:
     def __init__(self, model: Model):
         self.weights = np.array(model.weights)
         match, not_one = LexiconAutomaton(model.terms).match, frozenset(model.lookalikes)
-        self.kind = _Memo(lambda w: 0 if w in not_one else match(w), REMEMBERED)
+        known = lambda w: 0 if w in not_one else match(w)
+        self.kind = _Memo(lambda w: known(w) if w.isalpha() else min(filter(None, map(known, [w, *_LETTERS.findall(w)])), default=0), REMEMBERED)
 
     def hits(self, text: str) -> list[tuple[str, int, bool]]:
         """(word, kind, whether it is quoted) of each hit in ``text``."""
@@ -153,6 +162,31 @@ def quoted(text: str, start: int, end: int) -> bool:
     return bool(REPORTING & set(_WORD.findall(before)[-3:]))
 
 
+def _half(text: str) -> int:
+    """One of two halves of the sample; copies of a text share theirs."""
+    return zlib.crc32(text.encode()) & 1
+
+
+def _examples(rows: list[tuple[str, int]], model: Model, alike: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and weights to fit on.
+
+    Misspellings are rare among labels, or absent. A toxic row therefore stands half as it is and
+    half with all its hits misspelled, while clean rows show false hits as a new document would: without
+    the lookalikes found in their own half.
+    """
+    scorer, others = model.scorer(), [Model(model.terms, model.weights, words).scorer() for words in alike]
+    out: list[tuple[list[float], float, float]] = []
+    for text, toxic in rows:
+        f = (scorer if toxic else others[1 - _half(text)]).features(text)
+        hits = np.expm1(f[2]) + np.expm1(f[5])
+        if toxic and hits:
+            out += [(f, 1.0, 0.5), ([1.0, 0.0, 0.0, f[3], 1.0, float(np.log1p(hits))], 1.0, 0.5)]
+        else:
+            out.append((f, float(toxic), 1.0))
+    x, y, weight = zip(*out, strict=True)
+    return np.array(x), np.array(y), np.array(weight)
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
     """Lexicon and weights from (text, label) rows.
 
@@ -162,11 +196,12 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     n_toxic = sum(y for _, y in rows)
     if not n_toxic or n_toxic == len(rows):
         return Model()
-    clean: Counter = Counter()
+    halves: tuple[Counter, Counter] = (Counter(), Counter())
     for text, y in rows:
         if not y:
             words = set(_WORD.findall(text.lower()))
-            clean.update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k})
+            halves[_half(text)].update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k})
+    clean = halves[0] + halves[1]
     around, docs, more = defaultdict(set), Counter(), defaultdict(set)
     most = max(0.02 * (len(rows) - n_toxic) / n_toxic, 1e-9)  # clean documents a term may have for each toxic one
     for text, y in rows:
@@ -190,19 +225,20 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     for t in sorted(stems, key=len):
         if any(t[:k] + "*" in stems for k in range(1, len(t) - 1)):
             stems.discard(t)
-    words = {t for t in good if t[-1] != "*" and not any(t[:k] + "*" in stems for k in range(1, len(t)))}
-    model = Model(sorted(sorted(stems | words, key=lambda t: (-good[t], t))[:MOST_TERMS]))
+    words = {t for t in good if t[-1] != "*"}  # those a stem covers too, as a stem has no misspellings
+    covered = {t for t in words if any(t[:k] + "*" in stems for k in range(1, len(t)))}
+    model = Model(sorted(sorted(stems | words, key=lambda t: (t in covered, -good[t], t))[:MOST_TERMS]))
     match = LexiconAutomaton(model.terms).match
-    model.lookalikes = sorted(w for w in clean if w[-1] != "*" and not docs[w] and match(w))[: 4 * MOST_TERMS]
-    scorer = model.scorer()
-    x, y = np.array([scorer.features(t) for t, _ in rows]), np.array([float(v) for _, v in rows])
+    alike = Counter({w: n for w, n in clean.items() if w[-1] != "*" and not docs[w] and match(w)})
+    x, y, weight = _examples(rows, model, [[w for w in alike if half[w]] for half in halves])
+    model.lookalikes = sorted(w for w, _ in sorted(alike.items(), key=lambda i: (-i[1], i[0]))[: 4 * MOST_TERMS])
     prior = np.array(PRIOR)
-    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.25 * ((w - prior) ** 2).sum()
+    loss = lambda w: weight @ (np.logaddexp(0, x @ w) - y * (x @ w)) + 0.25 * ((w - prior) ** 2).sum()
     w = prior.copy()
     for _ in range(100):  # Newton's method, steps halved until they help, with a small ridge around the prior weights
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        slope = x.T @ (y - p) - 0.5 * (w - prior)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), slope)
+        slope = x.T @ (weight * (y - p)) - 0.5 * (w - prior)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), slope)
         while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
             step = step / 2
         w = w + step
