@@ -103,13 +103,30 @@ def consensus(spark, sf):
     return g.select("s_nationkey", F.round("a", 4).alias("lat"), F.round("b", 4).alias("lon"), F.round("spread", 2).alias("spread"), "conflicts", (F.col("spread") > 2).alias("diverges"))
 
 
+LOOKBACK = 500
+
+
+def _ranked(v: DataFrame) -> DataFrame:
+    """``v`` with ``rank``, its place by vec_id: ranges of ids are numbered apart and moved by the counts of those before."""
+    n = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted({int(x) for x in v.approxQuantile("vec_id", [i / n for i in range(1, n)], min(0.01, 1 / (8 * n)))}) if n > 1 else []
+    ranged = v.withColumn("_range", F.size(F.filter(F.lit(bounds), lambda x: x <= F.col("vec_id"))) if bounds else F.lit(0))
+    sizes = dict(ranged.groupBy("_range").count().collect())  # a row per range
+    starts = [sum(sizes.get(j, 0) for j in range(i)) for i in range(len(bounds) + 1)]
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("vec_id", "label", "e"))
+    return ranged.withColumn("rank", F.element_at(F.lit(starts).cast("array<long>"), F.col("_range") + 1) + place).drop("_range")
+
+
 def similar_images(spark, sf):
-    """For each of the newest 500 vectors the most similar earlier one of its label, by cosine."""
-    v = _read(spark, sf, "embeddings").orderBy(F.desc("vec_id")).limit(500).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    """For every vector the most similar of its label among the ``LOOKBACK`` newest before it, by cosine."""
+    v = _read(spark, sf, "embeddings").where("vec_id IS NOT NULL").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    o = v.select(F.col("vec_id").alias("other_id"), "label", F.col("e").alias("f"))
-    p = v.join(o, "label").where("other_id < vec_id")
-    p = p.withColumn("cosine", F.round(dot(F.col("e"), F.col("f")) / (F.sqrt(dot(F.col("e"), F.col("e"))) * F.sqrt(dot(F.col("f"), F.col("f")))), 6))
+    v = _ranked(v).withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e"))))
+    block = F.floor(F.col("rank") / LOOKBACK)
+    o = v.select(F.col("vec_id").alias("other_id"), "label", F.col("e").alias("f"), F.col("norm").alias("other_norm"), F.col("rank").alias("other_rank"), block.alias("block"))
+    p = v.withColumn("block", F.explode(F.array(block, block - 1))).join(o, ["label", "block"])
+    p = p.where((F.col("other_rank") < F.col("rank")) & (F.col("other_rank") >= F.col("rank") - LOOKBACK) & (F.col("other_id") < F.col("vec_id")))
+    p = p.withColumn("cosine", F.round(dot(F.col("e"), F.col("f")) / (F.col("norm") * F.col("other_norm")), 6))
     best = p.where("cosine >= 0.5").groupBy("vec_id").agg(F.max(F.struct("cosine", "other_id")).alias("m"))
     return best.select("vec_id", F.col("m.other_id").alias("other_id"), F.col("m.cosine").alias("cosine"))
 
