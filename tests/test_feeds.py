@@ -68,3 +68,31 @@ def test_digest_registers_only_what_it_keeps(spark):
     rows = [(1, 1, 10, "a"), (2, 2, 10, "b"), (3, 3, 11, "b"), (4, 4, 11, "a")]
     df = spark.createDataFrame(rows, "id long, t long, incident long, signature string").withColumn("g", F.lit(1))
     assert sorted(r.id for r in df.groupBy("g").applyInPandas(incidents.keep_unseen, df.schema).collect()) == [1, 3]
+
+
+def test_digest_folds_batches_like_the_whole_window(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(40)), int(rng.integers(60)), str(s) if (s := rng.integers(50)) else None, int(rng.integers(3)), "d" if rng.integers(2) else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, t long, incident long, signature string, region long, day string").repartition(7)
+    whole = df.groupBy("region", "day").applyInPandas(incidents.keep_unseen, df.schema)
+    small = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(small)
+    spark.conf.set(small, "16")
+    try:
+        mine = incidents.unseen(df, ["region", "day"])
+        assert mine.columns == df.columns and sorted(map(str, mine.collect())) == sorted(map(str, whole.collect()))
+        pairs = incidents.first_of_pairs(df, ["region", "day"])
+        assert pairs.count() == df.select("region", "day", "incident", "signature").distinct().count()
+    finally:
+        spark.conf.set(small, before)
+    assert incidents.unseen(df.limit(0), ["region", "day"]).count() == 0
+    rows = [(1, 1, None, None), (2, 1, None, None), (3, 2, None, "a"), (4, 3, None, "a"), (5, 3, 9, None), (6, 4, 9, None), (7, 5, 9, "b"), (8, 6, 10, "b")]
+    nulls = spark.createDataFrame([(*r, 1) for r in rows], "id long, t long, incident long, signature string, region long")
+    assert sorted(r.id for r in incidents.unseen(nulls, ["region"]).collect()) == [1, 2, 3, 5, 8]
+
+
+def test_day_digest_holds_no_window_in_one_frame(spark, sf_dir):
+    from tidewatch.plans import feed_queries
+
+    plan = feed_queries.day_digest(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan

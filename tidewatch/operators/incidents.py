@@ -78,6 +78,49 @@ def keep_unseen(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[kept]
 
 
+def first_of_pairs(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """The first report (t, id) of each incident and signature within ``keys``; a null signature is its own value,
+    and rows without both stand each alone.
+
+    Only the first of equal pairs can be kept, so the rest need not be ordered. Of null
+    signatures too: the first is kept or its incident was, and either rules out the later ones.
+    """
+    rest = [c for c in reports.columns if c not in (*keys, "incident", "signature")]
+    order = F.struct(F.col("t").isNull(), "t", F.col("id").isNull(), "id")
+    alone = F.when(F.col("incident").isNull() & F.col("signature").isNull(), F.col("id")).alias("_alone")
+    first = reports.groupBy(*keys, "incident", "signature", alone).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+    return first.select(*(F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in reports.columns))
+
+
+def unseen(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``reports`` (id, t, incident, signature), in order within ``keys``, whose incident and signature were on no row kept before; a null is on none.
+
+    One task folds all rows of a window, as each choice rests on those before it: batch by batch, over
+    the first reports of each pair alone, sorted with spill. It holds the values seen, not the rows.
+    """
+    order = [F.col(c).asc_nulls_last() for c in (*keys, "t", "id")]
+    rows = first_of_pairs(reports, keys).repartition(*keys).sortWithinPartitions(*order)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, incidents, signatures = None, set(), set()
+        for b in batches:
+            kept = []
+            columns = (*(b[c].to_pylist() for c in keys), b["incident"].to_pylist(), b["signature"].to_pylist())
+            for *key, incident, signature in zip(*columns, strict=True):
+                if key != window:
+                    window, incidents, signatures = key, set(), set()
+                new = (incident is None or incident not in incidents) and (signature is None or signature not in signatures)
+                kept.append(new)
+                if new:
+                    if incident is not None:
+                        incidents.add(incident)
+                    if signature is not None:
+                        signatures.add(signature)
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return rows.mapInArrow(work, rows.schema)
+
+
 def anchored_counts(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Streaming form for one region: counts reports per anchored incident; state is (anchor, n)."""
     anchor, n = state.get if state.exists else (None, 0)

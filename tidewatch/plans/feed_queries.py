@@ -139,7 +139,7 @@ def day_digest(spark, sf):
     """Reports of each region and day whose source and rounded value were on none kept before."""
     e = _events(spark, sf).select((F.col("user_id") % 8).alias("region"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_id").alias("id"),
                                   F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("user_id").alias("incident"), F.floor("value").cast("string").alias("signature"))
-    return e.groupBy("region", "day").applyInPandas(incidents.keep_unseen, e.schema).select("region", "day", "id")
+    return incidents.unseen(e, ["region", "day"]).select("region", "day", "id")
 
 
 def plausibility(spark, sf):
