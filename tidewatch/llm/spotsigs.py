@@ -4,8 +4,8 @@ A spot is an anchor (a common word) with the chain of the next ``CHAIN`` content
 after it; a fingerprint is the bag of a text's spots (the k-th of equal spots is an element of
 its own). So that tables, junk and other languages have spots too, every sixth content word,
 by hash, is an anchor as well; in texts of few words every word is, and a text too short for
-any chain has its words as its one spot. Likeness is the Jaccard similarity of two bags;
-bags whose lengths already rule a likeness out are not compared.
+any chain has its words as its one spot. Likeness is the Jaccard similarity of two bags.
+The query compares every one of its fixed pairs; nothing is pruned by length.
 """
 
 from __future__ import annotations
