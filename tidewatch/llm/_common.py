@@ -30,16 +30,45 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+_STAGED: list[tuple[str, str]] = []
+
+
 def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` once as a table in the shared folder and reads it back.
 
     It cuts the lineage: later jobs neither redo the work nor depend on an
-    executor's disk.
+    executor's disk. ``drop`` and ``drop_all`` delete such tables.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewatch/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGED.append((spark.sparkContext.applicationId, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*staged: DataFrame) -> None:
+    """Deletes tables that ``stage`` returned; nothing may read them any more."""
+    for df in staged:
+        _delete(df.sparkSession, df._staged)
+        _STAGED[:] = [x for x in _STAGED if x[1] != df._staged]
+
+
+def drop_all(spark: SparkSession) -> int:
+    """Deletes every table this application has staged; call it once the results of its operators are written."""
+    app = spark.sparkContext.applicationId
+    mine = [p for a, p in _STAGED if a == app]
+    for path in mine:
+        _delete(spark, path)
+    _STAGED[:] = [x for x in _STAGED if x[0] != app]
+    return len(mine)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -49,13 +78,15 @@ def partitions(spark: SparkSession) -> int:
 def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
     """At most ``n`` ascending values of ``column`` that start ranges of about as many rows.
 
-    Reads that column alone. The list is as long as the number of partitions,
-    whatever the number of rows; values are ones that occur, and the least is first.
+    Reads that column alone, twice. The list is as long as the number of partitions, whatever the
+    number of rows. Quantiles are doubles, so the ranges they cut are approximate for long ids; each is then
+    named by the least value that occurs in it, exactly, and ranges without rows are left out.
     """
     known = df.where(F.col(column).isNotNull()).select(column)
-    found = known.approxQuantile(column, [i / n for i in range(n)], min(0.01, 1 / (8 * n)))
-    least = known.agg(F.min(column)).first()[0]
-    return sorted({int(least), *(int(x) for x in found)}) if least is not None else []
+    found = known.approxQuantile(column, [i / n for i in range(1, n)], min(0.01, 1 / (8 * n))) if n > 1 else []
+    cuts = sorted({min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in found})
+    rows = known.groupBy(range_bucket(F.col(column), [-(1 << 63), *cuts]).alias("b")).agg(F.min(column).alias("least")).collect()  # a row per range
+    return sorted(r.least for r in rows)
 
 
 def range_bucket(column: Column, bounds: list[int]) -> Column:

@@ -8,35 +8,49 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import stage
+from tidewatch.llm._common import drop, stage
+
+#: A node with more than one in so many of all edge ends is a hub; a table of fewer edges has none.
+HUBS, LEAST_EDGES = 5000, 10_000
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) of every end of ``edges`` (a, b): the least id that it reaches.
 
     Alternates large-star and small-star steps, whose rounds grow with the logarithm of the
-    longest path. Every round is a table in the shared folder. A hub's edges are not gathered:
-    minima are aggregated before the shuffle, and joins on the hub can be split.
+    longest path. Every round is a table in the shared folder, and the one before is deleted. A hub's edges are
+    not gathered: minima are aggregated before the shuffle, and a hub's minimum comes to its edges by a
+    broadcast of the hubs, of which there are fewer than ``HUBS``. Nulls and loops are no edges.
     """
     clean = edges.where("a is not null and b is not null and a <> b")
     now = stage(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stage(large, "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = stage(small.distinct(), "edges")
-        before, mark = mark, _mark(now)
+        star = _with_least(both, 2 * mark[0]).select("b", F.least("a", "m").alias("m"), "a")
+        large = stage(star.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        small = _with_least(large, mark[0])
+        small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        after = stage(small.distinct(), "edges")
+        drop(now, large)
+        now, before, mark = after, mark, _mark(after)
         if mark == before:
             break
     roots = now.select(F.col("b").alias("id")).distinct().withColumn("component_id", F.col("id"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(roots)
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``edges`` (a, b) with ``m``, the least b of each a."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    if total < LEAST_EDGES:
+        return edges.join(least.select("a", "m"), "a")
+    hub = F.col("n") > total // HUBS
+    hubs = F.broadcast(least.where(hub).select("a", "m"))  # fewer than HUBS rows, as each has more than one in HUBS of the edges
+    rest = edges.join(hubs.select("a"), "a", "left_anti").join(least.where(~hub).select("a", "m"), "a")
+    return edges.join(hubs, "a").select("a", "b", "m").unionByName(rest.select("a", "b", "m"))
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     """Number and order-free checksum of the edges."""
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()

@@ -11,7 +11,6 @@ checkpoints let all its strides be decoded side by side.
 
 from __future__ import annotations
 
-import heapq
 import uuid
 import zlib
 from collections import defaultdict
@@ -225,7 +224,11 @@ def read_codebook(spark: SparkSession, path: str) -> Codebook:
 
 
 def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
-    """(doc_id, start, ids) of every document in the files; with ``digest`` (doc_id, start, n_tokens, ids_crc32)."""
+    """(doc_id, start, ids) of every document in the files; with ``digest`` (doc_id, start, n_tokens, ids_crc32).
+
+    A row per document written: repeated rows and null doc_ids come back each, a null or empty text as the end id
+    alone. Files of an empty table give no rows.
+    """
     book = read_codebook(spark, path)
 
     def work(batches):
@@ -254,15 +257,3 @@ def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
     path = f"{shared_dir(docs.sparkSession)}/tidewatch/token-files-{uuid.uuid4().hex}"
     write_ids(docs, path, tokenizer, end_id)
     return read_ids(docs.sparkSession, path, digest=True)
-
-
-def plain_code_cost(counts: np.ndarray) -> float:
-    """Bits per id of an unlimited Huffman code, as a yardstick for ``code_lengths``."""
-    heap = [float(c) for c in counts if c]
-    heapq.heapify(heap)
-    total = 0.0
-    while len(heap) > 1:
-        pair = heapq.heappop(heap) + heapq.heappop(heap)
-        total += pair
-        heapq.heappush(heap, pair)
-    return total / max(1.0, float(np.sum(counts)))
