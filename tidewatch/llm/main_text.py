@@ -1,10 +1,11 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score positive where pages' main text
-has them and tags score negative, by weights counted on labelled pages: pages that
-mark their article (``article``, ``main``) label their own words and tags. One linear
-scan finds the contiguous stretch of the greatest sum; what it holds outside menus, notices,
-forms and the like is the main text.
+A page is a sequence of words and tags. Words score by where they stand (the nearest block) and by the
+names of the elements around them (class words, and tags such as nav), tags by their name. The weights
+are log odds counted on labelled pages: pages that mark their article (``article``, ``main``) label their own words
+and tags. Extraction never looks at those marks: one linear scan finds the contiguous stretch of the greatest sum,
+and what it holds outside elements whose names speak against it is the main text. The names that web pages commonly
+give to their other parts are a prior, which stands until labelled pages say more.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import html
 import math
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +26,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split()
 )
-DROPPED = frozenset(
-    "head script style noscript template title nav footer aside form button select option textarea input iframe object svg math canvas audio video dialog menu datalist fieldset".split()
-)
+DROPPED = frozenset("head script style noscript template title button select option textarea input iframe object svg math canvas audio video datalist".split())
+NAMED = frozenset("nav footer header aside form dialog menu fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -52,147 +53,220 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidd
 _LETTERS = re.compile(r"[a-z]+")
 
 
-def _apart(name: str, rest: str, in_article: bool) -> bool:
-    """Whether an element holds something else than main text."""
-    if name in DROPPED or name == "header" and not in_article:
-        return True
-    if not rest or name in ("html", "body") or name in ARTICLE and not _NAMES.search(rest):
-        return False
-    if _HIDDEN.search(rest):
-        return True
-    for m in _NAMES.finditer(rest):
-        for value in m[1].strip("\"'").lower().split():
-            parts = set(_LETTERS.findall(value))
-            if parts & PARTS and not parts & KEPT:
-                return True
-    return False
+#: Words (or tags) that a weight rests on at least; class words a model holds at most, those of most words; log odds from which a
+#: name speaks against its words; share of a name's words within articles from which a stretch runs on across them.
+ENOUGH, MOST_NAMES, AGAINST, WITHIN = 20, 20_000, -1.0, 0.05
+NOWHERE = "<none>"
+
+
+def listed(name: str) -> bool:
+    """Whether a name commonly stands for something else than main text."""
+    return name[0] == "<" or name in PARTS
+
+
+@lru_cache(1 << 16)
+def names_of(name: str, rest: str) -> tuple[str, ...]:
+    """Names by which an element may be told apart: NAMED tags, and the words of its class, id and role; a DROPPED or hidden one has ``<none>``."""
+    if name in DROPPED:
+        return (NOWHERE,)
+    out = [f"<{name}"] if name in NAMED else []
+    if rest:
+        if _HIDDEN.search(rest) and name not in ("html", "body"):
+            return (NOWHERE,)
+        for m in _NAMES.finditer(rest):
+            for value in m[1].strip("\"'").lower().split():
+                parts = _LETTERS.findall(value)
+                if not KEPT.intersection(parts):
+                    out += parts
+    return tuple(dict.fromkeys(out))
 
 
 def events(page: str):
-    """The page in order: ("tag", name, apart, in_article) and ("text", context, apart, in_article, text, block).
+    """The page in order: ("tag", name, names, above) and ("text", context, names, above, text, block).
 
-    The tags that open and close an element apart belong to it.
+    ``names`` are those of the open elements; ``above`` says how many of them were open before the page's
+    marked article, and is None outside of one. Only counting reads it. The tags of an element belong to it.
     """
-    stack: list[tuple[str, bool]] = []
-    apart = articles = block = at = 0
+    stack: list[tuple[str, int, bool]] = []  # name, how many names it has, whether it opens an article
+    names: tuple[str, ...] = ()
+    above: int | None = None
+    block = at = 0
+
+    def close(k: int) -> None:
+        nonlocal names, above
+        for _, n, opened in reversed(stack[k:]):
+            names = names[: len(names) - n]
+            above = None if opened else above
+        del stack[k:]
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            yield "text", _context(stack), apart > 0, articles > 0, page[at : m.start()], block
+            yield "text", _context(stack), names, above, page[at : m.start()], block
         at = m.end()
         name = m["name"] or m["name2"]
         if not name:
             continue
-        name, rest, own = name.lower(), m["rest"] or m["rest2"] or "", False
+        name, rest, own = name.lower(), m["rest"] or m["rest2"] or "", None
+        shown = "other" if name in ARTICLE else name if name in BLOCKS or name in INLINE or name in VOID else "other"
         if name not in INLINE:
             block += 1
         if m["end"] or m["end2"]:
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, a = stack.pop()
-                    apart -= a
-                    articles -= n in ARTICLE and not a
-                    if n == name:
-                        own = a
-                        break
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if k is not None:
+                own = names, above
+                close(k)
         elif name not in VOID and not rest.endswith("/"):
             if name in BLOCKS:  # a block ends an open paragraph, with what is open in it
                 k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)
                 if k is not None and stack[k][0] == "p":
-                    apart -= sum(a for _, a in stack[k:])
-                    del stack[k:]
-            a = _apart(name, rest, articles > 0)
-            stack.append((name, a))
-            apart += a
-            articles += name in ARTICLE and not a
-        yield "tag", name if name in BLOCKS or name in INLINE or name in VOID else "other", own or apart > 0, articles > 0
+                    close(k)
+            opened = above is None and name in ARTICLE
+            mine = names_of(name, rest)
+            names += mine
+            if opened:
+                above = len(names)
+            stack.append((name, len(mine), opened))
+        yield "tag", shown, *(own or (names, above))
     if at < len(page):
-        yield "text", _context(stack), apart > 0, articles > 0, page[at:], block
+        yield "text", _context(stack), names, above, page[at:], block
 
 
 def _context(stack) -> str:
-    return next((n for n, _ in reversed(stack) if n in BLOCKS), "none")
+    name = next((n for n, *_ in reversed(stack) if n in BLOCKS), "none")
+    return "div" if name in ARTICLE else name
 
 
 def counts(page: str) -> Counter:
-    """On a page that marks its article: how often each kind of word and tag is in it and outside."""
+    """On a page that marks its article: how often each kind of word, tag and name is in it (1) and outside (0).
+
+    What stands in the article under a listed name is no example of main text: it counts for nothing but how
+    much of that name is within articles (2).
+    """
     seen = list(events(page))
     out: Counter = Counter()
-    if any(e[3] for e in seen):
-        for e in seen:
-            if e[0] == "tag":
-                out["tag", e[1], e[3] and not e[2]] += 1
-            else:
-                out["apart" if e[2] else "word", e[1], e[3] and not e[2]] += len(e[4].split())
+    if not any(e[3] is not None for e in seen):
+        return out
+    for e in seen:
+        names, above = e[2], e[3]
+        if NOWHERE in names:
+            continue
+        inside = above is not None
+        n = 1 if e[0] == "tag" else len(e[4].split())
+        told = any(map(listed, names[above:] if inside else names))
+        if e[0] == "tag":
+            if not (inside and told):
+                out["tag", e[1], int(inside)] += n
+        elif n:
+            if inside and told:
+                for x in set(names[above:]):
+                    out["name", x, 2] += n
+                continue
+            for x in set(names):
+                out["name", x, int(inside)] += n
+            out["all", e[1], int(inside)] += n
+            if not told:
+                out["left", e[1], int(inside)] += n
     return out
 
 
 class Weights:
-    """Scores of a word by where it stands and of a tag by its name, as clipped log odds."""
+    """Scores of words by where they stand and of tags by their name, as clipped log odds, from counts (kind, name, 0 to 2)."""
 
-    def __init__(self, n: dict[tuple[str, str, bool], int]):
+    def __init__(self, n: dict[tuple[str, str, int], int]):
         self.n = n
+        self._against: dict[str, float | None] = {}
 
     def _odds(self, kind: str, name: str) -> float | None:
-        inside, outside = self.n.get((kind, name, True), 0), self.n.get((kind, name, False), 0)
-        return math.log((inside + 0.5) / (outside + 0.5)) if inside + outside >= 20 else None
-
-    def word(self, name: str, against: bool) -> float:
-        """Words outside a marked article, or where none is marked of the page's other parts, count against a stretch."""
-        if against:
-            return -1.0
-        odds = self._odds("word", name)
-        return 1.0 if odds is None else min(2.0, max(0.1, odds))
+        inside, outside = self.n.get((kind, name, 1), 0), self.n.get((kind, name, 0), 0)
+        return math.log((inside + 0.5) / (outside + 0.5)) if inside + outside >= ENOUGH else None
+
+    def name(self, name: str) -> float | None:
+        """None for a name that does not speak against its words; else their score."""
+        if name not in self._against:
+            odds = self._odds("name", name)
+            against = name == NOWHERE or (listed(name) if odds is None else odds < AGAINST)
+            within, outside = self.n.get(("name", name, 2), 0), self.n.get(("name", name, 0), 0)
+            self._against[name] = None if not against else 0.0 if name == NOWHERE or within > WITHIN * (within + outside) else -1.0
+        return self._against[name]
+
+    def names(self, names: tuple[str, ...]) -> float | None:
+        """The least score of the names that speak against their words, or None."""
+        return min((x for n in names if (x := self.name(n)) is not None), default=None)
+
+    def word(self, context: str) -> float:
+        """By the words there that no listed name explains; where they are too few by all of them, then 1."""
+        odds = self._odds("left", context)
+        odds = self._odds("all", context) if odds is None else odds
+        return 1.0 if odds is None else min(2.0, max(-1.0, odds))
 
     def tag(self, name: str) -> float:
         odds = self._odds("tag", name)
         return -1.0 if odds is None else min(-0.1, max(-2.0, odds))
 
 
-def extract(page: str, weights: Weights) -> str:
-    """Main text of ``page``: its blocks, joined by line feeds.
-
-    What is set apart inside a marked article counts neither way, so that a stretch runs on behind it.
-    """
-    seen = list(events(page))
-    marked = any(e[3] and e[0] == "text" and not e[2] and e[4].strip() for e in seen)
+def stretch(seen: list, weights: Weights) -> tuple[int, int]:
+    """Begin and end of the contiguous events of the greatest sum, in one scan."""
     best = total = 0.0
     start, found = 0, (0, 0)
     for i, e in enumerate(seen):
-        if marked and e[2] and e[3]:
-            continue
+        against = weights.names(e[2])
         if e[0] == "tag":
-            total += weights.tag(e[1])
+            total += weights.tag(e[1]) if against is None or against < 0 else 0.0
         else:
-            total += weights.word(e[1], not e[3] if marked else e[2]) * len(e[4].split())
+            total += (weights.word(e[1]) if against is None else against) * len(e[4].split())
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, found = total, (start, i + 1)
+    return found
+
+
+def extract(page: str, weights: Weights) -> str:
+    """Main text of ``page``: the blocks of its best stretch, joined by line feeds.
+
+    What is set apart by names counts against a stretch, or neither way where labelled pages have it within articles too, so
+    that the stretch runs on behind it; it is left out of the text.
+    """
+    seen = list(events(page))
+    begin, end = stretch(seen, weights)
     blocks: dict[int, list[str]] = defaultdict(list)
-    for e in seen[found[0] : found[1]]:
-        if e[0] == "text":
-            if not e[2] and not (marked and not e[3]):
+    for e in seen[begin:end]:
+        if weights.names(e[2]) is None:
+            if e[0] == "text":
                 blocks[e[5]].append(e[4])
-        elif e[1] == "br" and blocks:
-            blocks[next(reversed(blocks))].append(" ")
+            elif e[1] == "br" and blocks:
+                blocks[next(reversed(blocks))].append(" ")
     texts = (" ".join(html.unescape("".join(b)).split()) for b in blocks.values())
     return "\n".join(t for t in texts if t)
 
 
 def learn(pages: DataFrame) -> Weights:
-    """Counts over every page of ``pages`` that marks its article; a task sends a row per kind at most."""
+    """Counts over every page of ``pages`` that marks its article, added up by task before they are shuffled.
+
+    Of the class words of all pages those of most words are held, ``MOST_NAMES`` at most and of ``ENOUGH`` words at least; tags
+    and contexts are of fixed lists.
+    """
 
     def work(batches):
+        def rows(total):
+            keys = list(total)
+            return {"kind": [k[0] for k in keys], "name": [k[1] for k in keys], "side": [k[2] for k in keys], "n": [total[k] for k in keys]}
+
         total: Counter = Counter()
         for whole in batches:
             for page in whole["html"].to_pylist():
                 total.update(counts(page or ""))
-        keys = list(total)
-        yield {"kind": [k[0] for k in keys], "name": [k[1] for k in keys], "inside": [bool(k[2]) for k in keys], "n": [total[k] for k in keys]}
-
-    rows = map_batches(pages.select("html"), work, "kind string, name string, inside boolean, n long")
-    rows = rows.groupBy("kind", "name", "inside").agg(F.sum("n").alias("n")).collect()  # names are of a fixed list
-    return Weights({(r.kind, r.name, r.inside): r.n for r in rows})
+            if len(total) > 20 * MOST_NAMES:
+                yield rows(total)
+                total = Counter()
+        yield rows(total)
+
+    n = map_batches(pages.select("html"), work, "kind string, name string, side int, n long").groupBy("kind", "name")
+    n = n.agg(*(F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(3)))
+    every = F.col("n0") + F.col("n1") + F.col("n2")
+    names = n.where((F.col("kind") == "name") & (every >= ENOUGH)).orderBy(every.desc(), "name").limit(MOST_NAMES)
+    found = names.unionByName(n.where("kind <> 'name'")).collect()  # MOST_NAMES rows and those of fixed lists at most
+    return Weights({(r.kind, r.name, k): r[f"n{k}"] for r in found for k in range(3)})
 
 
 def extract_pages(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
