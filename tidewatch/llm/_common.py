@@ -61,14 +61,18 @@ def drop(*staged: DataFrame) -> None:
         _STAGED[:] = [x for x in _STAGED if x[1] != df._staged]
 
 
-def drop_all(spark: SparkSession) -> int:
-    """Deletes every table this application has staged; call it once the results of its operators are written."""
-    app = spark.sparkContext.applicationId
-    mine = [p for a, p in _STAGED if a == app]
-    for path in mine:
+def staged(spark: SparkSession) -> list[str]:
+    """Paths of the tables that this application has staged and not dropped."""
+    return [p for app, p in _STAGED if app == spark.sparkContext.applicationId]
+
+
+def drop_all(spark: SparkSession, but: Iterable[str] = ()) -> None:
+    """Deletes the tables this application has staged, ``but`` some; call it once the results that read them are written."""
+    keep = set(but)
+    gone = [p for p in staged(spark) if p not in keep]
+    for path in gone:
         _delete(spark, path)
-    _STAGED[:] = [x for x in _STAGED if x[0] != app]
-    return len(mine)
+    _STAGED[:] = [x for x in _STAGED if x[1] not in gone]
 
 
 def partitions(spark: SparkSession) -> int:

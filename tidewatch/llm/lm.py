@@ -11,6 +11,9 @@ normalisers, so token probabilities sum to one.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -257,31 +260,40 @@ class Trainer:
         self.seen += n
 
 
+def whole_batches(texts: Iterator[np.ndarray], size: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``contexts`` of all tokens of ``texts`` in batches of ``size``; what is left of one goes with the next, and the end is a batch of its own."""
+    held, n = [np.empty(0, np.int64)] * 3, 0
+    group: list[np.ndarray] = []
+    for s in texts:
+        group.append(s)
+        n += len(s)
+        if n >= size:
+            held, group = [np.concatenate(x) for x in zip(held, contexts(group), strict=True)], []
+            whole = n // size * size
+            for k in range(0, whole, size):
+                yield tuple(x[k : k + size] for x in held)
+            held, n = [x[whole:] for x in held], n - whole
+    if group:
+        held = [np.concatenate(x) for x in zip(held, contexts(group), strict=True)]
+    if n:
+        yield tuple(held)
+
+
 def _round(rows: DataFrame, flat, share: np.ndarray, number: int) -> np.ndarray | None:
-    """One pass over all training tokens: every task trains from ``flat``; the mean by tokens comes back."""
+    """One pass over all training tokens: every task trains from ``flat``; the mean by tokens comes back.
+
+    What a task learns rests on the documents it reads, in their order, and so do the scores: another number of files or another
+    split of them gives other parameters of the same model.
+    """
     shards = 8
 
     def work(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        trainer = Trainer(flat.value, share, 1000 * number + part, RATE / (1 + number))
-        held, size = [], 0
-        for b in batches:
-            for s in b["symbols"].to_pylist():
-                held.append(np.frombuffer(s, "<u2"))
-                size += len(held[-1])
-                if size >= BATCH:
-                    w, u, v = contexts(held)
-                    for k in range(0, len(w) - BATCH + 1, BATCH):
-                        trainer.step(w[k : k + BATCH], u[k : k + BATCH], v[k : k + BATCH])
-                    k = len(w) // BATCH * BATCH
-                    if k < len(w) and len(w) - k >= BATCH // 4:
-                        trainer.step(w[k:], u[k:], v[k:])
-                    held, size = [], 0
-        if held:
-            trainer.step(*contexts(held))
-        if trainer.seen:
+        trainer = None
+        for w, u, v in whole_batches(np.frombuffer(s, "<u2") for b in batches for s in b["symbols"].to_pylist()):
+            if trainer is None:
+                trainer = Trainer(flat.value, share, 1000 * number + zlib.crc32(w.tobytes()), RATE / (1 + number))
+            trainer.step(w, u, v)
+        if trainer is not None:
             for i, values in enumerate(np.array_split(trainer.flat, shards)):
                 yield {"shard": [i], "weight": [float(trainer.seen)], "values": [values]}
 

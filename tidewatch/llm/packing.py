@@ -193,7 +193,8 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, part, local_rank.
 
-    ``part`` is the writing task and ``local_rank`` counts that task's pieces of one length.
+    ``part`` is the writing task and ``local_rank`` counts that task's pieces of one length. A null or empty text is one
+    piece of the end id; repeated rows and null doc_ids have pieces each; an empty table has none.
     """
     from pyspark import TaskContext
 

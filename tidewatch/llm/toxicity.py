@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm._common import fold, map_batches, slices
 from tidewatch.llm.byte_level import REMEMBERED, _Memo
 
-#: Labelled documents of either class that a model is fitted on at most; terms of a lexicon at most (and four times as many lookalikes).
-SAMPLE_TOXIC, SAMPLE_CLEAN, MOST_TERMS = 2000, 4000, 1000
+#: Labelled documents of either class that a model is fitted on at most. They bound the lexicon too, as a term needs some of them.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 #: Letters of a term from which one misspelling counts; lengths of stems; continuations that make a stem.
 FUZZY_FROM, STEMS, CONTINUATIONS = 4, (4, 5, 6, 7), 4
 #: Code points on either side of a hit that are searched for signs of quotation.
@@ -39,6 +39,8 @@ REPORTING = frozenset(
     "said says say called calls quote quoted quotes wrote writes term word phrase sagte sagt nannte zitat wort dit disait appelle citation mot dijo dice llamó cita palabra".split()
 )
 
+_QUOTED = re.compile(f"[{OPENING}][^{CLOSING}\\n]{{1,{WINDOW}}}[{CLOSING}]")
+
 #: Letters with the digits among them, and the letters alone.
 _WORD, _LETTERS = re.compile(r"[^\W\d_](?:[^\W_]*[^\W\d_])?"), re.compile(r"[^\W\d_]+")
 
@@ -191,7 +193,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     """Lexicon and weights from (text, label) rows.
 
     A term counts by the different words before it, not by documents: copies of one
-    toxic document repeat its words, but insults turn up in many surroundings.
+    toxic document repeat its words, but insults turn up in many surroundings. What clean documents quote
+    does not speak against a term.
     """
     n_toxic = sum(y for _, y in rows)
     if not n_toxic or n_toxic == len(rows):
@@ -199,7 +202,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     halves: tuple[Counter, Counter] = (Counter(), Counter())
     for text, y in rows:
         if not y:
-            words = set(_WORD.findall(text.lower()))
+            words = set(_WORD.findall(_QUOTED.sub(" ", text.lower())))
             halves[_half(text)].update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k})
     clean = halves[0] + halves[1]
     around, docs, more = defaultdict(set), Counter(), defaultdict(set)
@@ -226,12 +229,11 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         if any(t[:k] + "*" in stems for k in range(1, len(t) - 1)):
             stems.discard(t)
     words = {t for t in good if t[-1] != "*"}  # those a stem covers too, as a stem has no misspellings
-    covered = {t for t in words if any(t[:k] + "*" in stems for k in range(1, len(t)))}
-    model = Model(sorted(sorted(stems | words, key=lambda t: (t in covered, -good[t], t))[:MOST_TERMS]))
+    model = Model(sorted(stems | words))
     match = LexiconAutomaton(model.terms).match
     alike = Counter({w: n for w, n in clean.items() if w[-1] != "*" and not docs[w] and match(w)})
     x, y, weight = _examples(rows, model, [[w for w in alike if half[w]] for half in halves])
-    model.lookalikes = sorted(w for w, _ in sorted(alike.items(), key=lambda i: (-i[1], i[0]))[: 4 * MOST_TERMS])
+    model.lookalikes = sorted(alike)
     prior = np.array(PRIOR)
     loss = lambda w: weight @ (np.logaddexp(0, x @ w) - y * (x @ w)) + 0.25 * ((w - prior) ** 2).sum()
     w = prior.copy()
@@ -290,7 +292,11 @@ def score_documents(docs: DataFrame, labels: DataFrame | None = None, model: Mod
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs``, with all their columns, that the score does not reject. Nothing but training moves rows."""
+    """Rows of ``docs``, with all their columns, that the score does not reject. Nothing but training moves rows.
+
+    Null and empty texts stay, as texts without hits; of repeated rows all stay or none; null doc_ids make no difference, an
+    empty table gives no rows, and without labels the fixed model rejects nothing.
+    """
     model = learn(docs, labels)
     cached: list[Scorer] = []
 
