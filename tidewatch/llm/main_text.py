@@ -264,8 +264,8 @@ def learn(pages: DataFrame) -> Weights:
     n = map_batches(pages.select("html"), work, "kind string, name string, side int, n long").groupBy("kind", "name")
     n = n.agg(*(F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(3)))
     every = F.col("n0") + F.col("n1") + F.col("n2")
-    names = n.where((F.col("kind") == "name") & (every >= ENOUGH)).orderBy(every.desc(), "name").limit(MOST_NAMES)
-    found = names.unionByName(n.where("kind <> 'name'")).collect()  # MOST_NAMES rows and those of fixed lists at most
+    named = F.col("kind") == "name"
+    found = n.where(~named | (every >= ENOUGH)).orderBy(named, every.desc(), "name").limit(MOST_NAMES).collect()  # fixed lists first
     return Weights({(r.kind, r.name, k): r[f"n{k}"] for r in found for k in range(3)})
 
 
