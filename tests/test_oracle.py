@@ -30,5 +30,5 @@ def test_query(spark, con, sf_dir, name):
         assert len(ours)
         return
     theirs = con.execute(registry.oracle_sql()[name]).df()
-    assert sorted(ours.columns) == sorted(theirs.columns)
+    assert sorted(ours.columns) == sorted(theirs.columns) and len(ours)
     assert plain(ours) == plain(theirs)

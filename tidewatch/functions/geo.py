@@ -47,17 +47,29 @@ def in_box(lat, lon, south, west, north, east) -> Column:
     return lat.between(south, north) & lon.between(west, east)
 
 
-def valid_point(lat, lon) -> Column:
-    """Reason why a coordinate pair cannot be used, or ``ok``."""
+def valid_point(lat, lon, bounds: tuple[float, float, float, float] = (-90, -180, 90, 180), scope: tuple[float, float, float, float] | None = None) -> Column:
+    """Reason why a coordinate pair (numbers or text) cannot be used, or ``ok``.
+
+    ``bounds`` (south, west, north, east) are those of the whole area, ``scope`` those of the region a report claims.
+    """
+    a, b = (x.cast("string").try_cast("double") for x in (lat, lon))
+    inside = in_box(a, b, *bounds)
     return (
         F.when(lat.isNull() | lon.isNull(), "missing")
-        .when(F.isnan(lat) | F.isnan(lon), "not_numeric")
-        .when((F.abs(lat) > 90) & (F.abs(lon) <= 90), "axes_swapped")
-        .when((F.abs(lat) > 90) | (F.abs(lon) > 180), "out_of_range")
+        .when(a.isNull() | b.isNull() | F.isnan(a) | F.isnan(b), "not_numeric")
+        .when(~inside & in_box(b, a, *bounds), "axes_swapped")
+        .when(~inside, "out_of_range")
+        .when(F.lit(False) if scope is None else ~in_box(a, b, *scope), "outside_scope")
         .otherwise("ok")
     )
 
 
+def nearest_of(lat, lon, centres: list[tuple[str, float, float]]) -> Column:
+    """Name of the nearest of a few fixed centres by squared degrees, longitudes shrunk by the cosine of the latitude; ties by name."""
+    off = lambda a, b: F.pow(lat - a, F.lit(2.0)) + F.pow((lon - b) * F.cos(F.radians(lat)), F.lit(2.0))
+    return F.array_min(F.array(*(F.struct(off(F.lit(a), F.lit(b)).alias("d"), F.lit(name).alias("name")) for name, a, b in centres)))["name"]
+
+
 def wind_triangle(speed, heading, wind_speed, wind_from) -> tuple[Column, Column, Column]:
     """Ground speed, ground heading and drift in [-180, 180)."""
     to = F.radians(wind_from + 180.0)
@@ -71,6 +83,11 @@ def speed_of_sound(celsius) -> Column:
     return 331.3 * F.sqrt(1 + celsius / 273.15)
 
 
+def sound_delay_s(km, celsius) -> Column:
+    """Seconds that sound takes for a distance."""
+    return km * 1000 / speed_of_sound(celsius)
+
+
 def arrival_minutes(km, speed_kmh, sigma_kmh) -> tuple[Column, Column, Column]:
     """Earliest, nominal and latest minutes, at speeds two sigmas apart (null where that speed is not positive)."""
     at = lambda v: F.when(v > 0, km / v * 60)

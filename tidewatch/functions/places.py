@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import decimal_point
+
 # Words before a street's name, and words after it.
 PREFIXES = ["street", "avenue", "rue", "calle", "strasse", "square", "lane"]
 SUFFIXES = ["street", "road"]
@@ -37,6 +39,31 @@ def dms_point(text: Column) -> tuple[Column, Column]:
     return degrees(1), degrees(5)
 
 
+def located(text: Column, cities: list[tuple[str, float, float]], bounds: tuple[float, float, float, float] = (44.0, 22.0, 53.0, 42.0)) -> Column:
+    """The place a report text tells best, as (kind, street, building, lat, lon, confidence): decimal or sexagesimal coordinates within ``bounds``
+    (0.98, 0.99), an address with a building (0.9 in a named city, 0.75 without), or a city alone (0.65); null fields if there is none."""
+    in_text = lambda lat, lon: (lat.between(bounds[0], bounds[2]) & lon.between(bounds[1], bounds[3]))
+    dd, dms = decimal_point(text), dms_point(text)
+    city = F.filter(F.array(*(F.when(F.lower(text).contains(n), F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon"))) for n, a, b in cities)), lambda c: c.isNotNull())
+    city = F.get(city, 0)
+    full = F.get(F.filter(addresses(text), lambda a: a["building"].isNotNull() & (F.length(a["street"]) >= 5)), 0)
+
+    def place(kind, street, building, lat, lon, confidence):
+        values = (F.lit(kind), street, building, lat, lon, confidence)
+        return F.struct(*(v.cast(t).alias(n) for v, (n, t) in zip(values, _LOCATED, strict=True)))
+
+    none = F.lit(None)
+    return (
+        F.when(in_text(*dd), place("coordinate", none, none, *dd, F.lit(0.98)))
+        .when(in_text(*dms), place("coordinate", none, none, *dms, F.lit(0.99)))
+        .when(full.isNotNull(), place("address", full["street"], full["building"], city["lat"], city["lon"], F.when(city.isNotNull(), 0.90).otherwise(0.75)))
+        .when(city.isNotNull(), place("settlement", none, none, city["lat"], city["lon"], F.lit(0.65)))
+    )
+
+
+_LOCATED = [("kind", "string"), ("street", "string"), ("building", "string"), ("lat", "double"), ("lon", "double"), ("confidence", "double")]
+
+
 def movement(text: Column) -> tuple[Column, Column]:
     """Names of the places in ``from X toward Y``; null if there is no such phrase."""
     pattern = r"from ([^ ]+) towards? ([^ .,]+)"
@@ -47,8 +74,8 @@ def walking_minutes(metres: Column) -> Column:
     return F.greatest(F.lit(1), F.round(metres / 80)).cast("int")
 
 
-def sun(lat: Column, lon: Column, ts: Column) -> tuple[Column, Column]:
-    """Elevation of the sun in degrees (the almanac's Fourier series), and shadow length per height; null at night."""
+def sun(lat: Column, lon: Column, ts: Column) -> tuple[Column, Column, Column]:
+    """Elevation of the sun in degrees (the almanac's Fourier series), shadow length per height (null at night), and azimuth from north."""
     hour = F.hour(ts) + F.minute(ts) / 60.0 + F.second(ts) / 3600.0
     g = (F.dayofyear(ts) - 1 + (hour - 12) / 24) * (2 * math.pi / 365)
     series = lambda *terms: sum((k * f(g * n) for k, f, n in terms[1:]), F.lit(terms[0]))
@@ -57,4 +84,6 @@ def sun(lat: Column, lon: Column, ts: Column) -> tuple[Column, Column]:
     turn = F.radians((hour * 60 + minutes + 4 * lon) / 4 - 180)
     rise = F.sin(F.radians(lat)) * F.sin(tilt) + F.cos(F.radians(lat)) * F.cos(tilt) * F.cos(turn)
     elevation = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rise))))
-    return elevation, F.when(elevation > 0, 1 / F.tan(F.radians(elevation)))
+    north = F.cos(F.radians(lat)) * F.sin(tilt) - F.sin(F.radians(lat)) * F.cos(tilt) * F.cos(turn)
+    azimuth = F.pmod(F.degrees(F.atan2(-F.cos(tilt) * F.sin(turn), north)), F.lit(360.0))
+    return elevation, F.when(elevation > 0, 1 / F.tan(F.radians(elevation))), azimuth

@@ -12,50 +12,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.functions import scoring
+
 WINDOW_S = 30 * 60
+TEXT_WINDOW_S = 25 * 60
 CELL_DEGREES = 0.08
 
 
 class Fold:
     """Assigns each report, in order, to the newest incident whose anchor is near in time and place.
 
-    The anchor is an incident's first report and never moves, so merging does not extend the window.
-    Reports without a position join by equal place text within the window.
+    The anchor is an incident's first report and never moves, so merging does not extend the window. A report that finds
+    none by its position, or has none, joins the newest incident of equal place text that began within the shorter text window.
     """
 
-    def __init__(self, window_s: float = WINDOW_S, reach: float = CELL_DEGREES):
-        self.window_s, self.reach, self.segment = window_s, reach, None
+    def __init__(self, window_s: float = WINDOW_S, reach: float = CELL_DEGREES, text_window_s: float = TEXT_WINDOW_S):
+        self.window_s, self.reach, self.text_window_s, self.segment = window_s, reach, text_window_s, None
         self.open: deque = deque()  # anchors still within the window, newest last
 
     def __call__(self, segment, key, t, lat, lon, place):
         if segment != self.segment:
             self.segment = segment
             self.open.clear()
-        while self.open and self.open[0][0] < t - self.window_s:
+        while self.open and self.open[0][0] < t - max(self.window_s, self.text_window_s):
             self.open.popleft()
-        located = lat is not None and lon is not None
-        for _, incident, alat, alon, aplace in reversed(self.open):
-            if located and alat is not None and math.hypot(alat - lat, alon - lon) <= self.reach or not located and place is not None and place == aplace:
-                return incident
-        self.open.append((t, key, lat, lon, place))
+        if lat is not None and lon is not None:
+            for began, incident, alat, alon, _ in reversed(self.open):
+                if began >= t - self.window_s and alat is not None and math.hypot(alat - lat, alon - lon) <= self.reach:
+                    return incident
+        if place is not None:
+            for began, incident, _, _, aplace in reversed(self.open):
+                if began >= t - self.text_window_s and place == aplace:
+                    return incident
+        self.open.append((t, key, lat, lon if lat is not None else None, place))
         return key
 
 
-def cluster(reports: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
+def stretches(reports: DataFrame, window_s: int) -> DataFrame:
+    """``reports`` (region, t, ...) with ``_segment``: a region is cut where no report came for longer than ``window_s``.
+
+    Only the first and last time of each region and ``window_s`` of clock time are ordered, however many reports fall in it; no such span holds a gap.
+    """
+    slot = F.floor(F.col("t") / window_s)
+    spans = reports.groupBy("region", slot.alias("_slot")).agg(F.min("t").alias("_low"), F.max("t").alias("_high"))
+    order = Window.partitionBy("region").orderBy("_slot")
+    new = F.coalesce(F.col("_low") - F.lag("_high").over(order) > window_s, F.lit(True)).cast("int")
+    spans = spans.withColumn("_new", new).select("region", "_slot", F.sum("_new").over(order).alias("_segment"))
+    return reports.withColumn("_slot", slot).join(spans, ["region", "_slot"]).drop("_slot")
+
+
+def cluster(reports: DataFrame, window_s: int = WINDOW_S, text_window_s: int = TEXT_WINDOW_S) -> DataFrame:
     """(region, id, incident) of reports (region, id, t seconds, lat, lon, place).
 
-    A region's reports are cut where none came for longer than the window: no incident spans such a
-    gap, so each stretch folds on its own and a busy region is many stretches.
+    A region's reports are cut where none came for longer than the window: no incident spans such a gap, so
+    each stretch folds on its own. A stretch without a gap is one task's work, batch by batch, as each choice rests on those before it.
     """
-    order = Window.partitionBy("region").orderBy("t", "id")
-    gap = F.coalesce(F.col("t") - F.lag("t").over(order) > window_s, F.lit(True)).cast("int")
-    cut = reports.withColumn("_new", gap).withColumn("_segment", F.sum("_new").over(order))
+    cut = stretches(reports, max(window_s, text_window_s))
     cut = cut.select("region", "_segment", "t", "id", "lat", "lon", "place").repartition("region", "_segment").sortWithinPartitions("region", "_segment", "t", "id")
     kinds = dict(reports.dtypes)
     schema = T.StructType.fromDDL(f"region {kinds['region']}, id {kinds['id']}, incident {kinds['id']}")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = Fold(window_s)
+        fold = Fold(window_s, text_window_s=text_window_s)
         for b in batches:
             rows = zip(*(b[c].to_pylist() for c in ("region", "_segment", "id", "t", "lat", "lon", "place")), strict=True)
             chosen = [fold((region, segment), *rest) for region, segment, *rest in rows]
@@ -64,6 +82,16 @@ def cluster(reports: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
     return cut.mapInArrow(work, schema)
 
 
+def raised(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for reports that repeat ``keys``: the first by (t, id), with the best significance and confidence of all, the composite of
+    those, the type of the last, and how many there were (n)."""
+    order = F.struct("t", "id")
+    rest = [c for c in reports.columns if c not in (*keys, "significance", "confidence", "resonance", "event_type")]
+    first = F.min_by(F.struct(*rest), order).alias("_first")
+    g = reports.groupBy(*keys).agg(first, F.max("significance").alias("significance"), F.max("confidence").alias("confidence"), F.max_by("event_type", order).alias("event_type"), F.count(F.lit(1)).alias("n"))
+    return g.select(*keys, "_first.*", "significance", "confidence", scoring.composite(F.col("significance"), F.col("confidence")).alias("resonance"), "event_type", "n")
+
+
 def keep_unseen(pdf: pd.DataFrame) -> pd.DataFrame:
     """Rows of one window, in order, whose incident and signature were on no row kept before."""
     pdf = pdf.sort_values(["t", "id"], kind="stable")
@@ -119,18 +147,3 @@ def unseen(reports: DataFrame, keys: list[str]) -> DataFrame:
             yield b.filter(pa.array(kept, pa.bool_()))
 
     return rows.mapInArrow(work, rows.schema)
-
-
-def anchored_counts(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Streaming form for one region: counts reports per anchored incident; state is (anchor, n)."""
-    anchor, n = state.get if state.exists else (None, 0)
-    out = []
-    rows = pd.concat(list(batches)).sort_values(["t", "id"])
-    for t in rows["t"]:
-        if anchor is None or t > anchor + WINDOW_S:
-            if anchor is not None:
-                out.append((key[0], anchor, n))
-            anchor, n = int(t), 0
-        n += 1
-    state.update((int(anchor), int(n)))
-    yield pd.DataFrame([*out, (key[0], anchor, n)], columns=["region", "anchor", "n"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,28 +14,43 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def upsert(current: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Rows of both by key; a fresh row replaces the one before."""
+def upsert(current: DataFrame, fresh: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows of both by key; a fresh row replaces the one before, and of rows of one batch that share a key the last by ``order`` stays."""
     both = current.withColumn("_seq", F.lit(0)).unionByName(fresh.withColumn("_seq", F.lit(1)))
-    return keep_last(both, [key], ["_seq"]).drop("_seq")
+    return keep_last(both, [key], ["_seq", *order]).drop("_seq")
 
 
-def archive(spark: SparkSession, fresh: DataFrame, path: str, key: str, ts: str) -> None:
-    """Upserts ``fresh`` into a Parquet lake by year, month and day; only the days it touches are rewritten.
+def archive(spark: SparkSession, fresh: DataFrame, path: str, key: str, ts: str, order: list[str] | None = None) -> None:
+    """Upserts ``fresh`` into a Parquet lake by year, month and day; only the days it touches are rewritten, the first time too.
 
-    The days are read before they are replaced through a table beside the lake, so a failed write loses nothing.
+    Of rows that share a key in one batch the last by ``order`` (the time, if not given) stays. The days are merged into a table beside the lake, under
+    a name of its own for every run, before they are replaced, so a failed write loses nothing; that table is deleted afterwards.
     """
+    order = [ts] if order is None else order
     day = fresh.withColumns({"year": F.date_format(ts, "yyyy"), "month": F.date_format(ts, "MM"), "day": F.date_format(ts, "dd")})
-    try:
-        old = spark.read.option("basePath", path).schema(day.schema).parquet(path).join(day.select("year", "month", "day").distinct(), ["year", "month", "day"], "left_semi").select(*day.columns)
-        merged = upsert(old, day, key)
-        merged.write.mode("overwrite").parquet(f"{path}.staging")
-        day = spark.read.schema(day.schema).parquet(f"{path}.staging")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        day = keep_last(day, [key], [ts])
-    day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "day").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = day.limit(0)
+    if files.exists(at):
+        touched = day.select("year", "month", "day").distinct()
+        old = spark.read.option("basePath", path).schema(day.schema).parquet(path).join(touched, ["year", "month", "day"], "left_semi").select(*day.columns)
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    upsert(old, day, key, order).write.parquet(staging)
+    merged = spark.read.schema(day.schema).parquet(staging).repartition("year", "month", "day")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "day").parquet(path)
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(staging), True)
+
+
+def replace_all(df: DataFrame, path: str) -> None:
+    """The import of a reference table: all rows of before go."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def snapshot(df: DataFrame, path: str, label: str) -> str:
+    """Writes a backup of ``df`` under its label; one that exists is never overwritten. Returns its path."""
+    at = f"{path.rstrip('/')}/{label}"
+    df.write.mode("errorifexists").parquet(at)
+    return at
 
 
 def lake_stats(df: DataFrame) -> DataFrame:

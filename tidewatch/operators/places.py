@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions import geo
+from tidewatch.functions import geo, text
 from tidewatch.operators import spatial
 
 
@@ -28,6 +28,21 @@ def resolve(places: DataFrame, gazetteer: DataFrame, homonyms: DataFrame) -> Dat
     return out.select("id", F.coalesce("_homonym", "_inside").alias("key"), how.alias("how"))
 
 
+def channel_regions(channels: DataFrame, registry: DataFrame, stems: list[tuple[str, str]]) -> DataFrame:
+    """(id, region, how) of channels (id, channel): the registry's (name, region) for its own name, else for the longest registered name
+    within it, else the first region whose stem (region, stem) it holds; null otherwise. Handles are compared without at sign and case."""
+    own = channels.select("id", text.handle(F.col("channel")).alias("place"), F.lit("").alias("region"))
+    found = resolve(own, registry.select(F.col("name").alias("key")), own.where("false").select(F.col("place").alias("name"), "region", F.col("place").alias("key")))
+    stem = None
+    for region, part in stems:
+        hit = F.col("place").contains(part)
+        stem = F.when(hit, region) if stem is None else stem.when(hit, region)
+    known = found.join(registry.select(F.col("name").alias("key"), F.col("region").alias("_region")), "key", "left").select("id", "_region", "how")
+    out = own.join(known, "id").withColumn("_stem", stem)
+    how = F.when(F.col("_region").isNotNull(), F.col("how")).when(F.col("_stem").isNotNull(), "stem").otherwise("none")
+    return out.select("id", F.coalesce("_region", "_stem").alias("region"), how.alias("how"))
+
+
 def tagged(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """(id, tags) of texts (id, text): the sorted districts one of whose alias words (alias, district) the text holds."""
     words = texts.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("alias"))

@@ -12,25 +12,38 @@ from tidewatch.functions.geo import RADIUS_KM, haversine_km
 KM_PER_DEGREE = math.pi * RADIUS_KM / 180
 
 
-def _cells(df: DataFrame, km: float, around: bool, reach_lat: float) -> DataFrame:
-    """Adds grid cells at least ``km`` wide in both directions up to the latitude ``reach_lat``."""
-    size = km / KM_PER_DEGREE
-    wide = size / max(0.05, math.cos(math.radians(min(89.0, reach_lat))))
-    row, column = F.floor(F.col("lat") / size), F.floor(F.col("lon") / wide)
+def _cells(df: DataFrame, km: float, around: bool) -> DataFrame:
+    """Adds grid cells at least ``km`` wide in both directions.
+
+    Rows are bands of latitude. Every band has as many columns as fit at its end nearest to a pole, so that cells are wide enough there too; columns
+    wrap at 180 degrees. ``around`` gives the cells of the neighbouring bands that lie within ``km``.
+    """
+    size = km / KM_PER_DEGREE * (1 + 1e-9)
+    row = F.floor(F.col("lat") / size)
+
+    def columns(r):
+        far = F.greatest(F.abs(r * size), F.abs((r + 1) * size))
+        # A circle of ``size`` around a point of latitude y reaches asin(sin(size) / cos(y)) to either side.
+        reach = F.when(far + size >= 90, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(math.radians(min(size, 89.9)))) / F.cos(F.radians(F.least(far + size, F.lit(89.999))))))))
+        return F.greatest(F.floor(360.0 / reach), F.lit(1)).cast("long")
+
+    def cell(r, shift):
+        n = columns(r)
+        at = F.floor((F.pmod(F.col("lon") + 180.0, F.lit(360.0))) / 360.0 * n).cast("long")
+        return F.struct(r.alias("r"), F.pmod(at + shift, n).alias("c"))
+
     if around:
-        near = F.array(*(F.struct((row + i).alias("r"), (column + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        return df.withColumn("_cell", F.explode(near))
-    return df.withColumn("_cell", F.struct(row.alias("r"), column.alias("c")))
+        return df.withColumn("_cell", F.explode(F.array_distinct(F.array(*(cell(row + i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))))))
+    return df.withColumn("_cell", cell(row, 0))
 
 
-def within_km(left: DataFrame, right: DataFrame, km: float, reach_lat: float = 70.0) -> DataFrame:
-    """Pairs of ``left`` (id, lat, lon) and ``right`` (other_id, lat, lon) at most ``km`` apart, with ``km``.
+def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Pairs of ``left`` (id, lat, lon) and ``right`` (other_id, lat, lon) at most ``km`` apart, with ``km``, anywhere on the globe.
 
     The right side is put in its nine neighbouring cells, so that one equi-join finds every pair.
     """
-    there = right.select("other_id", F.col("lat"), F.col("lon"))
-    there = _cells(there, km, True, reach_lat).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
-    pairs = _cells(left, km, False, reach_lat).join(there, "_cell")
+    there = _cells(right.select("other_id", "lat", "lon"), km, True).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+    pairs = _cells(left, km, False).join(there, "_cell")
     return pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("km") <= km).drop("_cell", "_lat", "_lon")
 
 

@@ -5,12 +5,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import places, scoring, text
 from tidewatch.operators import incidents, lake
 from tidewatch.operators import places as place_joins
+from tidewatch.plans.shared import shared_dir
 from tidewatch.sources import feeds
 
 # Fixed values of the synthetic rule tables.
@@ -61,13 +64,16 @@ def props_json(spark, sf):
 
 
 def source_weights(spark, sf):
-    """Best registered weight of the sources named on a report, by type; unknown sources get the default tier."""
+    """Total registered weight of the sources named on a report, and the trust that they give, by type; unknown sources get the default tier."""
     e = _events(spark, sf).select("event_type", F.concat(F.lit("N_"), F.col("user_id") % 40, F.lit(",n_"), F.col("user_id") % 13).alias("sources"))
     lists = e.groupBy("event_type", "sources").agg(F.count(F.lit(1)).alias("n"))
-    reg = _table(spark, sf, "nation").select(F.concat(F.lit("n_"), "n_nationkey").alias("source"), (F.lit(0.3) + F.col("n_nationkey") % 7 / 10.0).alias("weight"), (F.col("n_regionkey") == 0).alias("official"))
+    kind = F.when(F.col("n_regionkey") == 0, "official").when(F.col("n_regionkey") == 1, "monitor").otherwise("other")
+    reg = _table(spark, sf, "nation").select(F.concat(F.lit("n_"), "n_nationkey").alias("source"), (F.lit(0.3) + F.col("n_nationkey") % 7 / 10.0).alias("weight"), kind.alias("kind"))
     named = lists.withColumn("source", F.explode(F.split(F.lower("sources"), ","))).join(reg, "source", "left")
-    best = named.groupBy("event_type", "sources").agg(F.first("n").alias("n"), F.max(F.coalesce("weight", F.lit(0.4))).alias("best"), F.max(F.coalesce("official", F.lit(False))).alias("official"))
-    return best.groupBy("event_type").agg(F.round(F.sum(F.col("best") * F.col("n")) / F.sum("n"), 4).alias("avg_best"), F.sum(F.when(F.col("official"), F.col("n")).otherwise(0)).alias("official"))
+    of = lambda k: F.count_if(F.col("kind") == k)
+    each = named.groupBy("event_type", "sources").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.coalesce("weight", F.lit(0.4))).alias("w"), of("official").alias("o"), of("monitor").alias("m"))
+    each = each.withColumn("trust", scoring.confidence(F.col("k"), F.round("w", 6), F.col("o"), F.col("m"), F.lit(False), F.lit(False)))
+    return each.groupBy("event_type").agg(F.round(F.sum(F.col("w") * F.col("n")) / F.sum("n"), 4).alias("avg_weight"), F.sum(F.col("trust") * F.col("n")).cast("long").alias("trust"))
 
 
 def category_rollup(spark, sf):
@@ -186,15 +192,19 @@ def threshold_sweep(spark, sf):
 
 
 def lake_files(spark, sf):
-    """Files, rows and rows per file of a table of the lake."""
-    files = lake.lake_stats(_events(spark, sf))
+    """Files, rows and rows per file of a lake that two overlapping batches were archived in, day by day."""
+    e, path = _events(spark, sf), f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}"
+    lake.archive(spark, e.where("event_id % 2 = 0"), path, "event_id", "ts")
+    lake.archive(spark, e.where("event_id % 3 > 0"), path, "event_id", "ts")
+    files = lake.lake_stats(spark.read.parquet(path))
     return files.agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("n"), F.round(F.avg("rows"), 1).alias("per_file"))
 
 
 def perimeters(spark, sf):
-    """Public-safety perimeter by type and value."""
-    r = scoring.hazard_radius_m(F.when(F.col("event_type") == "error", "fire"), F.col("value"))
-    return _events(spark, sf).groupBy("event_type", r.alias("radius_m")).agg(F.count(F.lit(1)).alias("n"))
+    """Three public-safety zones by type and value."""
+    names = ("inner_m", "middle_m", "outer_m")
+    zones = [z.alias(n) for z, n in zip(scoring.safety_zones_m(F.col("event_type") == "error", F.col("value")), names, strict=True)]
+    return _events(spark, sf).groupBy("event_type", *zones).agg(F.count(F.lit(1)).alias("n"))
 
 
 def admiralty(spark, sf):
@@ -208,8 +218,8 @@ def admiralty(spark, sf):
 def sun_heights(spark, sf):
     """Elevation of the sun and shadow length at the place and time of every error."""
     e = _events(spark, sf).where("event_type = 'error'")
-    up, shadow = places.sun(F.lit(44.0) + F.col("user_id") % 850 / 100.0, F.lit(22.0) + F.col("user_id") * 7 % 1800 / 100.0, F.col("ts"))
-    return e.select("event_id", F.round(up, 3).alias("elevation"), F.when(up > 1, F.round(shadow, 2)).alias("shadow"))
+    up, shadow, way = places.sun(F.lit(44.0) + F.col("user_id") % 850 / 100.0, F.lit(22.0) + F.col("user_id") * 7 % 1800 / 100.0, F.col("ts"))
+    return e.select("event_id", F.round(up, 3).alias("elevation"), F.when(up > 1, F.round(shadow, 2)).alias("shadow"), F.when(F.abs(up) < 80, F.round(way, 2)).alias("azimuth"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -226,7 +236,7 @@ ORACLE = {
     "source_shards": "SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 20 AS shard FROM (SELECT DISTINCT user_id FROM events)",
     "thermal_times": "SELECT CASE WHEN user_id % 25 < 24 THEN strftime(ts, '%Y-%m-%d') || ' ' || lpad((user_id % 25)::VARCHAR, 2, '0') || ':00' END AS hour, count(*) AS n FROM events GROUP BY 1",
     "props_json": r"SELECT event_type, sum(k)::BIGINT AS total, count(*) FILTER (k >= 50) AS high FROM (SELECT event_type, regexp_extract(props, '\"k\": ([0-9]+)', 1)::BIGINT AS k FROM events) GROUP BY 1".replace('\\"', '"'),
-    "source_weights": "WITH r AS (SELECT 'n_' || n_nationkey AS source, 0.3::DOUBLE + (n_nationkey % 7) / 10.0::DOUBLE AS weight, n_regionkey = 0 AS official FROM nation), e AS (SELECT event_id, event_type, unnest(string_split(lower('N_' || (user_id % 40) || ',n_' || (user_id % 13)), ',')) AS source FROM events), b AS (SELECT event_id, event_type, max(coalesce(weight, 0.4::DOUBLE)) AS best, max(coalesce(official, false)) AS official FROM e LEFT JOIN r USING (source) GROUP BY 1, 2) SELECT event_type, round(avg(best), 4) AS avg_best, count(*) FILTER (official) AS official FROM b GROUP BY 1",
+    "source_weights": "WITH r AS (SELECT 'n_' || n_nationkey AS source, 0.3::DOUBLE + (n_nationkey % 7) / 10.0::DOUBLE AS weight, n_regionkey AS g FROM nation), e AS (SELECT event_id, event_type, unnest(string_split(lower('N_' || (user_id % 40) || ',n_' || (user_id % 13)), ',')) AS source FROM events), b AS (SELECT event_id, event_type, sum(coalesce(weight, 0.4::DOUBLE)) AS w, count(*) FILTER (g = 0) AS o, count(*) FILTER (g = 1) AS m FROM e LEFT JOIN r USING (source) GROUP BY 1, 2), t AS (SELECT event_type, w, CASE WHEN o >= 1 AND round(w, 6) >= 2.0 THEN 95 WHEN o >= 1 THEN 90 WHEN round(w, 6) >= 1.5 THEN 85 WHEN round(w, 6) >= 1.2 THEN 70 WHEN m >= 1 THEN 60 ELSE 40 END AS trust FROM b) SELECT event_type, round(avg(w), 4) AS avg_weight, sum(trust)::BIGINT AS trust FROM t GROUP BY 1",
     "category_rollup": "SELECT user_id % 8 AS region, count(*) FILTER (event_type LIKE '%err%') AS fault, count(*) FILTER (event_type NOT LIKE '%err%' AND (event_type LIKE '%purch%' OR event_type LIKE '%sign%')) AS commerce, count(*) FILTER (NOT regexp_matches(event_type, 'err|purch|sign')) AS other FROM events GROUP BY 1",
     "severity_levels": f"WITH e AS (SELECT user_id % 8 AS region, event_id, ts, event_type = 'error' AND ts >= {_NOW} - INTERVAL 24 HOUR AS hit FROM events) SELECT region, count(*) FILTER (hit) AS n, CASE WHEN count(*) FILTER (hit) >= 10 THEN 'HIGH' WHEN count(*) FILTER (hit) >= 5 THEN 'MEDIUM' WHEN count(*) FILTER (hit) >= 1 THEN 'LOW' ELSE 'NONE' END AS level, arg_max(event_id, ts) FILTER (hit)::VARCHAR AS evidence FROM e GROUP BY 1",
     "critical_reports": f"SELECT event_id, value FROM events WHERE ts >= {_NOW} - INTERVAL 12 HOUR AND value >= 20 AND (user_id % 3 = 0 OR value >= 40) AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 7 = 0)",
@@ -241,8 +251,8 @@ ORACLE = {
     "edge_upsert": "SELECT source, target, count(*) AS weight, min(event_id) AS first_id, max(event_id) AS last_id, arg_max(substr(props, 1, 500), event_id) AS sample FROM (SELECT event_id, props, user_id AS source, (user_id * 3 + event_id) % 50 AS target FROM events) WHERE source <> target GROUP BY 1, 2",
     "context_lines": f"WITH l AS ({_NEWEST}) SELECT region, string_agg(strftime(ts, '%H:%M') || ' ' || event_type || ' ' || event_id, '; ' ORDER BY place) AS context FROM l WHERE place <= 10 AND ts >= {_NOW} - INTERVAL 12 HOUR GROUP BY 1",
     "threshold_sweep": "WITH t AS (SELECT value, event_type = 'error' AS y, unnest(generate_series(10, 80, 5))::INTEGER AS threshold FROM events), g AS (SELECT threshold, count(*) FILTER (value >= threshold AND y) AS tp, count(*) FILTER (value >= threshold AND NOT y) AS fp, count(*) FILTER (value < threshold AND y) AS fn FROM t GROUP BY 1), f AS (SELECT *, round(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 4) AS f1 FROM g) SELECT *, row_number() OVER (ORDER BY f1 DESC NULLS LAST, threshold) = 1 AS best FROM f",
-    "lake_files": "SELECT 1::BIGINT AS files, count(*) AS n, round(count(*)::DOUBLE, 1) AS per_file FROM events",
-    "perimeters": "SELECT event_type, CASE WHEN value >= 80 THEN CASE event_type WHEN 'error' THEN 450 ELSE 200 END WHEN value >= 50 THEN CASE event_type WHEN 'error' THEN 180 ELSE 90 END ELSE CASE event_type WHEN 'error' THEN 60 ELSE 30 END END::INTEGER AS radius_m, count(*) AS n FROM events GROUP BY 1, 2",
+    "lake_files": "WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_id % 2 = 0 OR event_id % 3 > 0 GROUP BY 1) SELECT count(*) AS files, sum(n)::BIGINT AS n, round(avg(n), 1) AS per_file FROM d",
+    "perimeters": "SELECT event_type, CASE WHEN w THEN 60 ELSE 30 END::INTEGER AS inner_m, CASE WHEN w THEN 180 ELSE 90 END::INTEGER AS middle_m, CASE WHEN w THEN 450 ELSE 200 END::INTEGER AS outer_m, count(*) AS n FROM (SELECT event_type, event_type = 'error' OR value >= 80 AS w FROM events) GROUP BY ALL",
     "admiralty": "SELECT CASE user_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS reliability, CASE WHEN user_id % 4 = 0 OR event_type = 'view' THEN 1 WHEN user_id % 4 = 1 THEN 2 ELSE 3 END::INTEGER AS credibility, count(*) AS n FROM events GROUP BY 1, 2",
-    "sun_heights": "WITH e AS (SELECT event_id, radians(44.0::DOUBLE + (user_id % 850) / 100.0::DOUBLE) AS lat, 22.0::DOUBLE + (user_id * 7 % 1800) / 100.0::DOUBLE AS lon, hour(ts) + minute(ts) / 60.0::DOUBLE + floor(second(ts)) / 3600.0::DOUBLE AS h, dayofyear(ts) AS d FROM events WHERE event_type = 'error'), g AS (SELECT *, 2 * pi() / 365 * (d - 1 + (h - 12) / 24) AS g FROM e), s AS (SELECT *, 229.18::DOUBLE * (0.000075::DOUBLE + 0.001868::DOUBLE * cos(g) - 0.032077::DOUBLE * sin(g) - 0.014615::DOUBLE * cos(2 * g) - 0.040849::DOUBLE * sin(2 * g)) AS eq, 0.006918::DOUBLE - 0.399912::DOUBLE * cos(g) + 0.070257::DOUBLE * sin(g) - 0.006758::DOUBLE * cos(2 * g) + 0.000907::DOUBLE * sin(2 * g) - 0.002697::DOUBLE * cos(3 * g) + 0.00148::DOUBLE * sin(3 * g) AS tilt FROM g), u AS (SELECT event_id, degrees(asin(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sin(lat) * sin(tilt) + cos(lat) * cos(tilt) * cos(radians((h * 60 + eq + 4 * lon) / 4 - 180)))))) AS up FROM s) SELECT event_id, round(up, 3) AS elevation, CASE WHEN up > 1 THEN round(1 / tan(radians(up)), 2) END AS shadow FROM u",
+    "sun_heights": "WITH e AS (SELECT event_id, radians(44.0::DOUBLE + (user_id % 850) / 100.0::DOUBLE) AS lat, 22.0::DOUBLE + (user_id * 7 % 1800) / 100.0::DOUBLE AS lon, hour(ts) + minute(ts) / 60.0::DOUBLE + floor(second(ts)) / 3600.0::DOUBLE AS h, dayofyear(ts) AS d FROM events WHERE event_type = 'error'), g AS (SELECT *, 2 * pi() / 365 * (d - 1 + (h - 12) / 24) AS g FROM e), s AS (SELECT *, 229.18::DOUBLE * (0.000075::DOUBLE + 0.001868::DOUBLE * cos(g) - 0.032077::DOUBLE * sin(g) - 0.014615::DOUBLE * cos(2 * g) - 0.040849::DOUBLE * sin(2 * g)) AS eq, 0.006918::DOUBLE - 0.399912::DOUBLE * cos(g) + 0.070257::DOUBLE * sin(g) - 0.006758::DOUBLE * cos(2 * g) + 0.000907::DOUBLE * sin(2 * g) - 0.002697::DOUBLE * cos(3 * g) + 0.00148::DOUBLE * sin(3 * g) AS tilt FROM g), t AS (SELECT *, radians((h * 60 + eq + 4 * lon) / 4 - 180) AS turn FROM s), u AS (SELECT event_id, degrees(atan2(-cos(tilt) * sin(turn), cos(lat) * sin(tilt) - sin(lat) * cos(tilt) * cos(turn))) AS way, degrees(asin(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sin(lat) * sin(tilt) + cos(lat) * cos(tilt) * cos(turn))))) AS up FROM t) SELECT event_id, round(up, 3) AS elevation, CASE WHEN up > 1 THEN round(1 / tan(radians(up)), 2) END AS shadow, CASE WHEN abs(up) < 80 THEN round(way + CASE WHEN way < 0 THEN 360 ELSE 0 END, 2) END AS azimuth FROM u",
 }

@@ -19,12 +19,6 @@ def _place(key: str):
     return (F.lit(44.0) + k * 7919 % 850 / 100.0).alias("lat"), (F.lit(22.0) + k * 104729 % 1800 / 100.0).alias("lon")
 
 
-def street_addresses(spark, sf):
-    """Streets named in all documents, with their buildings, by street."""
-    d = _read(spark, sf, "documents").select(F.explode(places.addresses(F.col("text"))).alias("a"))
-    return d.groupBy("a.street").agg(F.count(F.lit(1)).alias("n"), F.count("a.building").alias("with_building"))
-
-
 def coordinate_literals(spark, sf):
     """Positions written in degrees, minutes and seconds, read back."""
     c = _read(spark, sf, "customer")
@@ -87,16 +81,14 @@ def smoothed_tracks(spark, sf):
     return s.select("track", "id", F.round(F.hypot("vx", "vy"), 3).alias("kmh"), F.round(heading, 2).alias("heading"), F.round(soon, 2).alias("soonest"), F.round(nominal, 2).alias("nominal"), F.round(late, 2).alias("latest"))
 
 
-QUERIES = {f.__name__: f for f in (street_addresses, coordinate_literals, toponyms, movement_phrases, district_tags, region_approach, smoothed_tracks)}
+QUERIES = {f.__name__: f for f in (coordinate_literals, toponyms, movement_phrases, district_tags, region_approach, smoothed_tracks)}
 
 _LAT, _LON = "44.0::DOUBLE + ({0} * 7919 % 850) / 100.0::DOUBLE", "22.0::DOUBLE + ({0} * 104729 % 1800) / 100.0::DOUBLE"
 _KM = "2 * 6371.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))))"
 _WAY = "degrees(atan2(sin(radians({3} - {1})) * cos(radians({2})), cos(radians({0})) * sin(radians({2})) - sin(radians({0})) * cos(radians({2})) * cos(radians({3} - {1}))))"
 _FOUR = ("lat1", "lon1", "lat2", "lon2")
-_STREET = rf"(?:^|[^\p{{L}}])((?:{'|'.join(places.PREFIXES)}) \p{{L}}+|\p{{L}}+ (?:{'|'.join(places.SUFFIXES)}))([^\n]{{0,{places.TAIL}}})"
 
 ORACLE = {
-    "street_addresses": rf"WITH a AS (SELECT unnest(regexp_extract_all(text, '{_STREET}', 1)) AS street, unnest(regexp_extract_all(text, '{_STREET}', 2)) AS tail FROM documents) SELECT street, count(*) AS n, count(*) FILTER (regexp_matches(tail, '^[ ,]*[0-9]')) AS with_building FROM a GROUP BY 1",
     "coordinate_literals": "SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN round(-((c_custkey % 90) + (c_custkey % 60) / 60.0::DOUBLE + (c_custkey * 7 % 60) / 3600.0::DOUBLE), 5) END AS lat, CASE WHEN c_custkey % 5 > 0 THEN round((c_custkey % 180) + (c_custkey * 3 % 60) / 60.0::DOUBLE + (c_custkey % 59) / 3600.0::DOUBLE, 5) END AS lon FROM customer",
     "toponyms": "WITH h AS (SELECT c_mktsegment, 'nation_' || min(c_nationkey) AS homonym FROM customer GROUP BY 1), c AS (SELECT c_custkey AS id, c_mktsegment, CASE c_custkey % 4 WHEN 0 THEN 'nation_' || (c_custkey % 30) WHEN 1 THEN 'near nation_' || (c_custkey % 30) || ' bridge' WHEN 2 THEN 'old town' ELSE 'unknown' END AS place FROM customer), f AS (SELECT id, arg_max(lower(n_name), length(n_name)) AS inside FROM c JOIN nation ON contains(place, lower(n_name)) GROUP BY 1), r AS (SELECT CASE WHEN place = 'old town' THEN 'homonym' WHEN inside = place THEN 'exact' WHEN inside IS NOT NULL THEN 'inside' ELSE 'unresolved' END AS how, CASE WHEN place = 'old town' THEN homonym ELSE inside END AS key FROM c LEFT JOIN f USING (id) LEFT JOIN h USING (c_mktsegment)) SELECT how, key, count(*) AS n FROM r GROUP BY 1, 2",
     "movement_phrases": f"WITH g AS (SELECT n_nationkey AS k, {_LAT.format('n_nationkey')} AS lat, {_LON.format('n_nationkey')} AS lon FROM nation), m AS (SELECT c_custkey, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM customer JOIN g a ON a.k = c_custkey % 27 JOIN g b ON b.k = c_custkey * 7 % 26 WHERE a.k <> b.k), d AS (SELECT c_custkey, {_WAY.format(*_FOUR)} AS deg, {_KM.format(*_FOUR)} AS km FROM m) SELECT c_custkey, round(deg + CASE WHEN deg < 0 THEN 360 ELSE 0 END, 2) AS bearing, round(km, 2) AS km, round(km / 180.0::DOUBLE * 60, 1) AS minutes FROM d",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo
-from tidewatch.operators import spatial
+from tidewatch.operators import merge, spatial
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -92,18 +92,27 @@ def lineage(spark, sf):
     return out.unionByName(e.where("target = 7").select(F.lit("in").alias("way"), F.col("source").alias("other"), "weight"))
 
 
+def _evidence(spark, sf):
+    """Suppliers as evidence of where their nation is: three tight groups and one spread."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    apart = F.when(n % 4 == 0, 0.2).otherwise(0.002)
+    return _read(spark, sf, "supplier").select(
+        n.alias("nation"), k.alias("source"), (F.lit(48.0) + n * 0.1 + apart * (k % 7)).alias("lat"), (F.lit(30.0) + n * 0.1 + apart * (k % 5)).alias("lon"),
+        (F.lit(0.2) + k % 8 / 10.0).alias("confidence"), (F.lit(100.0) + k % 9 * 100).alias("radius_m"), (k % 6 + 1).cast("int").alias("reliability"), (k % 5 + 1).cast("int").alias("credibility"),
+    )
+
+
 def consensus(spark, sf):
-    """Weighted centre of each nation's suppliers, its spread, and whether the evidence diverges."""
-    s = _read(spark, sf, "supplier").select("s_nationkey", (F.lit(1.0) + F.col("s_suppkey") % 5).alias("w"), *_place("s_suppkey"))
-    w = Window.partitionBy("s_nationkey")
-    mean = lambda c: F.sum(F.col("w") * F.col(c)).over(w) / F.sum("w").over(w)
-    s = s.withColumn("clat", mean("lat")).withColumn("clon", mean("lon"))
-    s = s.withColumn("off", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")))
-    g = s.groupBy("s_nationkey").agg(F.first("clat").alias("a"), F.first("clon").alias("b"), F.max("off").alias("spread"), F.count_if(F.col("off") > 300).alias("conflicts"))
-    return g.select("s_nationkey", F.round("a", 4).alias("lat"), F.round("b", 4).alias("lon"), F.round("spread", 2).alias("spread"), "conflicts", (F.col("spread") > 2).alias("diverges"))
+    """One position of each nation: the weighted centre, or the most trusted evidence where it diverges."""
+    return merge.agreed(_evidence(spark, sf), "nation").select("nation", "source", "lat", "lon", "confidence", "radius_m", "conflict")
+
+
+def fused_centres(spark, sf):
+    """Centre of each nation's facts, weighted by confidence over squared spread, with radius, conflicts and grade."""
+    return merge.fused(_evidence(spark, sf).withColumnRenamed("radius_m", "spread_m"), "nation")
 
 
-LOOKBACK = 500
+LOOKBACK, ALIKE = 500, 0.35
 
 
 def _ranked(v: DataFrame) -> DataFrame:
@@ -118,7 +127,7 @@ def _ranked(v: DataFrame) -> DataFrame:
 
 
 def similar_images(spark, sf):
-    """For every vector the most similar of its label among the ``LOOKBACK`` newest before it, by cosine."""
+    """For every vector the newest one before it, of its label and among the ``LOOKBACK`` before it, whose cosine is ``ALIKE`` at least."""
     v = _read(spark, sf, "embeddings").where("vec_id IS NOT NULL").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     v = _ranked(v).withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e"))))
@@ -127,17 +136,31 @@ def similar_images(spark, sf):
     p = v.withColumn("block", F.explode(F.array(block, block - 1))).join(o, ["label", "block"])
     p = p.where((F.col("other_rank") < F.col("rank")) & (F.col("other_rank") >= F.col("rank") - LOOKBACK) & (F.col("other_id") < F.col("vec_id")))
     p = p.withColumn("cosine", F.round(dot(F.col("e"), F.col("f")) / (F.col("norm") * F.col("other_norm")), 6))
-    best = p.where("cosine >= 0.5").groupBy("vec_id").agg(F.max(F.struct("cosine", "other_id")).alias("m"))
+    best = p.where(F.col("cosine") >= ALIKE).groupBy("vec_id").agg(F.max(F.struct("other_id", "cosine")).alias("m"))
     return best.select("vec_id", F.col("m.other_id").alias("other_id"), F.col("m.cosine").alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (nearest_shelters, radius_join, space_time_nearest, bearings, graph_degrees, top_forwarders, lineage, consensus, similar_images)}
+def similar_hashes(spark, sf):
+    """For every vector the newest of the ``LOOKBACK`` before it whose hash of 24 signs differs in at most 5 bits, with the score of the match."""
+    v = _read(spark, sf, "embeddings").where("vec_id IS NOT NULL").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    sign = F.aggregate(F.zip_with(F.slice("e", 1, 24), F.sequence(F.lit(0), F.lit(23)), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+    v = _ranked(v).select("vec_id", "rank", sign.alias("hash"))
+    block = F.floor(F.col("rank") / LOOKBACK)
+    o = v.select(F.col("vec_id").alias("other_id"), F.col("hash").alias("other"), F.col("rank").alias("other_rank"), block.alias("block"))
+    p = v.withColumn("block", F.explode(F.array(block, block - 1))).join(o, "block").where((F.col("other_rank") < F.col("rank")) & (F.col("other_rank") >= F.col("rank") - LOOKBACK))
+    p = p.withColumn("bits", F.bit_count(F.col("hash").bitwiseXOR(F.col("other")))).where("bits <= 5")
+    best = p.groupBy("vec_id").agg(F.max(F.struct("other_rank", "other_id", "bits")).alias("m"))
+    return best.select("vec_id", F.col("m.other_id").alias("other_id"), F.greatest(F.lit(50), 100 - F.col("m.bits") * 10).cast("int").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (nearest_shelters, radius_join, space_time_nearest, bearings, graph_degrees, top_forwarders, lineage, consensus, fused_centres, similar_images, similar_hashes)}
 
 _LAT, _LON = "44.0::DOUBLE + ({0} * 7919 % 850) / 100.0::DOUBLE", "22.0::DOUBLE + ({0} * 104729 % 1800) / 100.0::DOUBLE"
 _C = f"c AS (SELECT c_custkey AS id, {_LAT.format('c_custkey')} AS lat, {_LON.format('c_custkey')} AS lon FROM customer)"
 _S = f"s AS (SELECT s_suppkey AS other_id, {_LAT.format('s_suppkey')} AS lat2, {_LON.format('s_suppkey')} AS lon2 FROM supplier)"
 _KM = "2 * 6371.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))))"
 _PAIR = _KM.format("lat", "lon", "lat2", "lon2")
+_EVIDENCE = "e AS (SELECT s_nationkey AS nation, s_suppkey AS source, 48.0::DOUBLE + s_nationkey * 0.1::DOUBLE + CASE WHEN s_nationkey % 4 = 0 THEN 0.2::DOUBLE ELSE 0.002::DOUBLE END * (s_suppkey % 7) AS lat, 30.0::DOUBLE + s_nationkey * 0.1::DOUBLE + CASE WHEN s_nationkey % 4 = 0 THEN 0.2::DOUBLE ELSE 0.002::DOUBLE END * (s_suppkey % 5) AS lon, 0.2::DOUBLE + (s_suppkey % 8) / 10.0::DOUBLE AS confidence, 100.0::DOUBLE + s_suppkey % 9 * 100 AS radius_m, s_suppkey % 6 + 1 AS reliability, s_suppkey % 5 + 1 AS credibility, confidence * 1000 / greatest(radius_m, 10.0) AS w FROM supplier)"
 _EDGES = "e AS (SELECT o_custkey AS source, l_suppkey AS target, count(*) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
 
 ORACLE = {
@@ -148,6 +171,8 @@ ORACLE = {
     "graph_degrees": f"WITH {_EDGES}, t AS (SELECT * FROM e ORDER BY weight DESC, source, target LIMIT 200), u AS (SELECT 'c' || source AS node, 1 AS o, 0 AS i, weight FROM t UNION ALL SELECT 's' || target, 0, 1, weight FROM t) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, sum(weight)::BIGINT AS weight FROM u GROUP BY node",
     "top_forwarders": f"WITH {_EDGES} SELECT source, sum(weight)::BIGINT AS total, count(*) AS targets FROM e GROUP BY source ORDER BY total DESC, source LIMIT 20",
     "lineage": f"WITH {_EDGES} SELECT 'out' AS way, target AS other, weight FROM e WHERE source = 7 UNION ALL SELECT 'in', source, weight FROM e WHERE target = 7",
-    "consensus": f"WITH s AS (SELECT s_nationkey, 1.0::DOUBLE + s_suppkey % 5 AS w, {_LAT.format('s_suppkey')} AS lat, {_LON.format('s_suppkey')} AS lon FROM supplier), m AS (SELECT s_nationkey, sum(w * lat) / sum(w) AS a, sum(w * lon) / sum(w) AS b FROM s GROUP BY 1), d AS (SELECT s.s_nationkey, a, b, {_KM.format('s.lat', 's.lon', 'a', 'b')} AS off FROM s JOIN m USING (s_nationkey)) SELECT s_nationkey, round(any_value(a), 4) AS lat, round(any_value(b), 4) AS lon, round(max(off), 2) AS spread, count(*) FILTER (off > 300) AS conflicts, max(off) > 2 AS diverges FROM d GROUP BY 1",
-    "similar_images": "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id DESC LIMIT 500), p AS (SELECT a.vec_id, b.vec_id AS other_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.label = b.label AND b.vec_id < a.vec_id) SELECT vec_id, other_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, other_id DESC) AS k FROM p WHERE cosine >= 0.5) WHERE k = 1",
+    "consensus": f"WITH {_EVIDENCE}, m AS (SELECT nation, sum(w * lat) / sum(w) AS a, sum(w * lon) / sum(w) AS b, avg(confidence) AS c, min(radius_m) AS r, count(*) AS n, arg_max(source, (confidence, -radius_m, source)) AS s FROM e GROUP BY 1), d AS (SELECT e.nation, max({_KM.format('e.lat', 'e.lon', 'a', 'b')}) * 1000 AS off FROM e JOIN m USING (nation) GROUP BY 1) SELECT m.nation, CASE WHEN off > 2000 OR n = 1 THEN s::VARCHAR ELSE 'consensus' END AS source, round(CASE WHEN off > 2000 OR n = 1 THEN e.lat ELSE a END, 5) AS lat, round(CASE WHEN off > 2000 OR n = 1 THEN e.lon ELSE b END, 5) AS lon, round(CASE WHEN off > 2000 OR n = 1 THEN e.confidence ELSE least(1.0, c + 0.15) END, 4) AS confidence, round(CASE WHEN n = 1 THEN e.radius_m WHEN off > 2000 THEN greatest(e.radius_m, off) ELSE greatest(10.0, r * 0.8) END, 1) AS radius_m, off > 2000 AS conflict FROM m JOIN d USING (nation) JOIN e ON e.nation = m.nation AND e.source = m.s",
+    "fused_centres": f"WITH {_EVIDENCE}, u AS (SELECT *, confidence / pow(greatest(radius_m, 50.0), 2) AS v FROM e WHERE confidence >= 0.3), m AS (SELECT nation, sum(v * lat) / sum(v) AS a, sum(v * lon) / sum(v) AS b, sqrt(sum(v * pow(radius_m, 2)) / sum(v)) AS r, count(*) AS n, avg(confidence) AS c, max(reliability) AS rel, min(credibility) AS cred FROM u GROUP BY 1), k AS (SELECT nation, count(*) FILTER (confidence > 0.5 AND sqrt(pow((lat - a) * 111320.0, 2) + pow((lon - b) * 111320.0 * cos(radians(a)), 2)) > 2 * radius_m) AS conflicts FROM u JOIN m USING (nation) GROUP BY 1) SELECT nation, round(a, 6) AS lat, round(b, 6) AS lon, round(r, 1) AS radius_m, n AS sources, conflicts, round(c, 3) AS confidence, substr('FEDCBA', rel, 1) || cred || CASE WHEN conflicts > 0 THEN '!' ELSE '' END AS grade FROM m JOIN k USING (nation)",
+    "similar_images": f"WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.label = b.label AND b.k < a.k AND b.k >= a.k - {LOOKBACK}) SELECT vec_id, max(other_id) AS other_id, arg_max(cosine, other_id) AS cosine FROM p WHERE cosine >= {ALIKE} GROUP BY 1",
+    "similar_hashes": f"WITH v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k, list_sum([CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END FOR i IN range(1, 25)])::BIGINT AS h FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other_id, bit_count(xor(a.h, b.h)) AS bits FROM v a JOIN v b ON b.k < a.k AND b.k >= a.k - {LOOKBACK} WHERE bit_count(xor(a.h, b.h)) <= 5) SELECT vec_id, max(other_id) AS other_id, greatest(50, 100 - 10 * arg_max(bits, other_id))::INTEGER AS score FROM p GROUP BY 1",
 }

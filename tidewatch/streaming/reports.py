@@ -1,28 +1,37 @@
-"""Streams of reports: file source, watermark, duplicates, windows and keyed incidents."""
+"""Streams of reports: file source, duplicates, windows, sensor pairs, merges into a table, and triggers."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tidewatch.operators.incidents import anchored_counts
+from tidewatch.functions.geo import haversine_km
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def read_reports(spark: SparkSession, path: str, files_at_once: int = 4) -> DataFrame:
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_at_once).parquet(path)
+def read_reports(spark: SparkSession, path: str, files_at_once: int = 4, schema: str = SCHEMA) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
 def parse_json(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Reports from JSON messages; what cannot be parsed keeps its text and a reason."""
-    parsed = raw.withColumn("_r", F.from_json(F.col(column).cast("string"), SCHEMA))
-    return parsed.select("_r.*", F.when(F.col("_r.event_id").isNull(), "invalid_json").alias("skip_reason"))
+    """Reports from JSON messages; what cannot be parsed keeps its text and a reason.
+
+    A fenced message is freed of its fence, trailing commas are dropped, and numbers in quotation marks are read as numbers.
+    """
+    text = F.regexp_replace(F.trim(F.col(column).cast("string")), r"^```(?:json)?\s*|\s*```$", "")
+    text = F.regexp_replace(text, r",\s*([}\]])", "$1")
+    loose = F.from_json(text, "event_id string, ts string, user_id string, event_type string, value string, props string")
+    parsed = raw.withColumn("_r", loose)
+    typed = [F.col(f"_r.{c}").try_cast(t).alias(c) for c, t in (x.split() for x in SCHEMA.split(", "))]
+    return parsed.select(*typed, F.when(F.col("_r.event_id").try_cast("long").isNull(), "invalid_json").alias("skip_reason"), F.col(column).cast("string").alias("raw"))
 
 
-def without_duplicates(reports: DataFrame, late: str = "24 hours") -> DataFrame:
-    return reports.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def without_duplicates(reports: DataFrame, late: str = "24 hours", keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Each key once within the watermark: at-least-once delivery becomes exactly once for the sink behind it."""
+    return reports.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def tumbling(reports: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "24 hours") -> DataFrame:
@@ -31,16 +40,45 @@ def tumbling(reports: DataFrame, length: str = "1 hour", slide: str | None = Non
     return reports.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def incidents(reports: DataFrame, regions: int = 8) -> DataFrame:
-    """Anchored incidents by region, as keyed state: a row when one closes and one for what is open."""
-    keyed = reports.select((F.col("user_id") % regions).alias("region"), F.col("event_id").alias("id"), F.col("ts").cast("long").alias("t"))
-    return keyed.groupBy("region").applyInPandasWithState(
-        anchored_counts, "region long, anchor long, n long", "anchor long, n long", "append", GroupStateTimeout.NoTimeout
-    )
+def near_sensors(reports: DataFrame, hits: DataFrame, km: float = 22.0, seconds: int = 300, late: str = "10 minutes") -> DataFrame:
+    """(id, hit, km) of reports (id, ts, lat, lon) and sensor hits (hit, heard_at, hit_lat, hit_lon) at most ``km`` apart, the hit at most ``seconds`` older.
+
+    Over streams as over tables; cells of a degree of latitude and the interval bound the state and the join.
+    """
+    size = km / 111.0
+    cell = F.floor(F.col("lat") / size).alias("cell")
+    left = reports.withWatermark("ts", late).select("id", "ts", "lat", "lon", cell)
+    right = hits.withWatermark("heard_at", late).withColumn("cell", F.explode(F.array(*(F.floor(F.col("hit_lat") / size) + i for i in (-1, 0, 1)))))
+    right = right.select("hit", "heard_at", "hit_lat", "hit_lon", F.col("cell").alias("hit_cell"))
+    on = (F.col("cell") == F.col("hit_cell")) & (F.col("heard_at") <= F.col("ts")) & (F.col("heard_at") >= F.col("ts") - F.expr(f"INTERVAL {seconds} SECONDS"))
+    away = haversine_km(F.col("lat"), F.col("lon"), F.col("hit_lat"), F.col("hit_lon"))
+    return left.join(right, on).withColumn("km", away).where(F.col("km") <= km).select("id", "hit", "km")
+
+
+def publish(reports: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("event_id",), late: str = "24 hours", every: str | None = None):
+    """A durable log of reports, each key once: files under ``path``; runs over what is there, or goes on ``every`` so often."""
+    out = without_duplicates(reports, late, keys).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return _started(out, every)
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
-    """Runs a stream over what is there and returns when it is done."""
-    query = df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+def merge_into(reports: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+    """Hands every micro-batch to ``merge(batch, number)``, which must give the same for a number that comes again."""
+    return _started(reports.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint), every)
+
+
+def _started(writer, every: str | None):
+    query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    if not every:
+        query.awaitTermination()
     return query
+
+
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there; returns what it has written to ``path``, the last state of it in complete mode."""
+    spark = df.sparkSession
+    if mode == "append":
+        writer = df.writeStream.format("parquet").option("path", path)
+    else:
+        writer = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    _started(writer.option("checkpointLocation", checkpoint).outputMode(mode), None)
+    return spark.read.schema(df.schema).parquet(path)
