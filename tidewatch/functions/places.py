@@ -71,7 +71,7 @@ def movement(text: Column) -> tuple[Column, Column]:
 
 
 def walking_minutes(metres: Column) -> Column:
-    return F.greatest(F.lit(1), F.round(metres / 80)).cast("int")
+    return F.greatest(F.lit(1), F.bround(metres / 80)).cast("int")
 
 
 def sun(lat: Column, lon: Column, ts: Column) -> tuple[Column, Column, Column]:
