@@ -6,9 +6,9 @@ its own). So that tables, junk and other languages have spots too, a content wor
 among its ``REACH`` neighbours on either side is an anchor as well. The rule is the same for texts of every
 length, and an edit changes only the spots around it. Likeness is the Jaccard similarity of two bags.
 
-``join_documents`` partitions all bags by length: those alike by ``LEAST`` or more are in the same or in neighbouring
-parts, where those that share a rare spot are compared, and a comparison ends as soon as what is left of the shorter bag
-cannot reach ``LEAST``. The query compares fixed pairs, exactly, which needs no parts.
+The query compares fixed pairs, exactly, so that nothing is partitioned or pruned in it. ``likeness`` with a bound and ``length_part`` are
+for callers who compare many: bags alike by the bound are in the same or in neighbouring parts, and a comparison ends as soon as what is
+left of the shorter bag cannot reach it.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ ANCHORS = (
 
 #: Content words in a chain; content words on either side that an anchor's hash is compared with.
 CHAIN, REACH = 2, 3
-#: Likeness from which a join links; elements of the shorter bag that are looked up between two looks at the bound.
-LEAST, STEP = 0.8, 64
+#: Elements of the shorter bag that are looked up between two looks at the bound.
+STEP = 64
 
 _WORD = re.compile(r"\w+")
 _MIX, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
