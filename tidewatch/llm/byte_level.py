@@ -60,13 +60,14 @@ class ByteLevelEncoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t["content"] for t in kind.get("added_tokens", [])]
         self.plain = plain
-        table, model, find = byte_characters(), self.tok.model, regex.compile(PIECES).findall
+        table, tokenize, find = byte_characters(), self.tok.model.tokenize, regex.compile(PIECES).findall
+        code, space = "H" if self.dtype.itemsize == 2 else "I", " ".translate(table)
 
-        code = "H" if self.dtype.itemsize == 2 else "I"
+        def ids_of(mapped: str) -> bytes:
+            return array(code, [t.id for t in tokenize(mapped)]).tobytes()
 
         def piece(p: str) -> bytes:
-            mapped = p.encode().decode("latin-1").translate(table)
-            return array(code, [t.id for t in model.tokenize(mapped)]).tobytes()
+            return ids_of(p.encode().decode("latin-1").translate(table))
 
         def join(text: str) -> bytes:
             return b"".join(map(self.pieces.__getitem__, find(text)))
@@ -74,14 +75,14 @@ class ByteLevelEncoder:
         def chunk(c: str) -> bytes | None:
             """Ids of a chunk behind a space; None where white space follows that space."""
             if c.isalpha():
-                return self.pieces[" " + c]
+                return ids_of(space + c) if c.isascii() else piece(" " + c)
             if not c or c[0].isspace():
                 return None
             if c[-1] in ",." and c[:-1].isalpha():
-                return self.pieces[" " + c[:-1]] + self.pieces[c[-1]]
+                return self.chunks[c[:-1]] + self.pieces[c[-1]]
             return join(" " + c)
 
-        self.pieces = _Memo(piece, REMEMBERED)
+        self.pieces = _Memo(piece, REMEMBERED // 4)
         self.heads, self.chunks, self.after_space = _Memo(join, REMEMBERED // 8), _Memo(chunk, REMEMBERED), lambda c: join(" " + c)
 
     def encode(self, text: str) -> bytes:
@@ -89,9 +90,11 @@ class ByteLevelEncoder:
             return b""
         if self.plain and not any(t in text for t in self.special):
             head, *rest = text.split(" ")
-            ids = list(map(self.chunks.__getitem__, rest))
-            if None not in ids:
-                return self.heads[head] + b"".join(ids)
+            ids = [self.heads[head], *map(self.chunks.__getitem__, rest)]
+            try:
+                return b"".join(ids)
+            except TypeError:  # white space behind some space
+                ids = ids[1:]
             if not _DENSE_SPACE.search(text):
                 return self.heads[head] + b"".join(self.after_space(c) if i is None else i for c, i in zip(rest, ids, strict=True))
         return array("H" if self.dtype.itemsize == 2 else "I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()

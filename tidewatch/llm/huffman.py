@@ -17,6 +17,7 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,7 @@ class Codebook:
         self.most = int(size.max()) if len(size) else 1
         slots = np.left_shift(1, self.most - size) if len(size) else np.empty(0, np.int64)
         first = np.cumsum(slots) - slots
+        self.short = self.lengths.astype(np.uint8)
         self.codes = np.zeros(len(self.lengths), dtype=np.int64)
         self.codes[order] = first >> (self.most - size)
         table = np.repeat(order, slots)
@@ -78,16 +80,22 @@ class Codebook:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """Payload and checkpoints of ``ids``."""
-        size = self.lengths[ids]
-        ends = np.cumsum(size)
-        at = ends - size
-        total = int(ends[-1]) if len(ids) else 0
-        word, shift = at >> 5, 64 - (at & 31) - size
-        bits = self.codes[ids].astype(np.uint64) << shift.astype(np.uint64)
-        n = (total >> 5) + 2
-        words = np.bincount(word, weights=(bits >> np.uint64(32)).astype(np.float64), minlength=n)
-        words[1:] += np.bincount(word, weights=(bits & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n)[: n - 1]
-        return words.astype(">u4").tobytes()[: (total + 7) // 8], at[::STRIDE].astype("<u4").tobytes()
+        total = int(self.short[ids].sum(dtype=np.int64))
+        words, marks, base = np.zeros((total >> 5) + 2, dtype=np.uint64), [np.empty(0, np.int64)], 0
+        for k in range(0, len(ids), BLOCK):  # a long document is encoded part by part
+            part = ids[k : k + BLOCK]
+            size = self.short[part].astype(np.int64)
+            ends = np.cumsum(size) + base
+            at = ends - size
+            word = at >> 5
+            bits = self.codes[part].astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            sums, word = np.add.reduceat(bits, first), word[first]  # codes do not overlap: sums are unions
+            words[word] += sums >> np.uint64(32)
+            words[word + 1] += sums & np.uint64(0xFFFFFFFF)
+            marks.append(at[::STRIDE])
+            base = int(ends[-1])
+        return words.astype(">u4").tobytes()[: (total + 7) // 8], np.concatenate(marks).astype("<u4").tobytes()
 
     def decode(self, payload: bytes, checkpoints: bytes, n: int) -> np.ndarray:
         """The ``n`` ids of a block; every stride is a lane, and all lanes step together."""
@@ -105,20 +113,45 @@ class Codebook:
         return out.T.reshape(-1)[:n]
 
 
+def _added(total: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Sum of two arrays of counts; the shorter one ends in zeros."""
+    if len(total) < len(more):
+        total, more = more.copy(), total
+    total[: len(more)] += more
+    return total
+
+
+def _unpacked(packed, dtype) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype)
+
+
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
-    """(doc_id, bucket, n, zids) of each document; zids are the compressed ids."""
+    """(doc_id, bucket, n, zids) of each document; zids are the compressed ids.
+
+    A task's last row, with n = -1, has the compressed counts of the ids that it met; those rows are spread over the buckets.
+    """
+    n_buckets = max(1, len(bounds))
     df = docs.select("doc_id", "text", range_bucket(F.col("doc_id"), bounds).alias("bucket"))
 
     def work(batches):
         import zstandard
+        from pyspark import TaskContext
 
+        total = np.zeros(0, dtype=np.int64)
         pack, enc = zstandard.ZstdCompressor(level=1), encoder(tokenizer)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for whole in batches:
             for b in slices(whole, "text"):
                 ids = [enc.encode(t or "") + end for t in b["text"].to_pylist()]
                 n = [len(x) // enc.dtype.itemsize for x in ids]
+                every = np.frombuffer(b"".join(ids), enc.dtype)
+                for k in range(0, len(every), BLOCK):
+                    total = _added(total, np.bincount(every[k : k + BLOCK]))
                 yield {"doc_id": b["doc_id"], "bucket": b["bucket"], "n": n, "zids": [pack.compress(x) for x in ids]}
+        if len(total):
+            yield {"doc_id": [None], "bucket": [TaskContext.get().partitionId() % n_buckets], "n": [-1], "zids": [pack.compress(total.tobytes())]}
 
     return map_batches(df, work, "doc_id long, bucket int, n long, zids binary")
 
@@ -134,35 +167,29 @@ def _with_position(df: DataFrame) -> DataFrame:
                 if k != bucket:
                     bucket, pos = k, 0
                 out.append(pos)
-                pos += n
+                pos += max(n, 0)
             yield {c: b[c] for c in ("doc_id", "bucket", "n", "zids")} | {"pos": out}
 
     return map_batches(df, work, "doc_id long, bucket int, n long, zids binary, pos long")
 
 
-def _ids(zids: bytes, n: int) -> np.ndarray:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(zids)
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+def _ids(zids, n: int) -> np.ndarray:
+    raw = _unpacked(zids, np.uint8)
+    return raw.view("<u2" if len(raw) == 2 * n else "<u4")
 
 
 def symbol_counts(encoded: DataFrame) -> np.ndarray:
-    """How often each id occurs in all documents; each task sends one row per id at most."""
+    """How often each id occurs in all documents, from the tasks' own counts."""
 
     def work(batches):
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            c = np.bincount(np.concatenate([_ids(z, n) for z, n in zip(b["zids"].to_pylist(), b["n"].to_pylist(), strict=True)]))
-            if len(c) > len(total):
-                total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-            total[: len(c)] += c
+            for z in b["zids"]:
+                total = _added(total, _unpacked(z.as_buffer(), np.int64))
         ids = np.flatnonzero(total)
         yield {"symbol": ids, "n": total[ids]}
 
-    rows = map_batches(encoded.select("zids", "n"), work, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(encoded.where("n < 0").select("zids"), work, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r.symbol for r in rows), default=0) + 1, dtype=np.int64)
     for r in rows:
         out[r.symbol] = r.n
@@ -178,7 +205,7 @@ def _blocks(encoded: DataFrame, book: Codebook, before: dict[int, int]) -> DataF
             return {"start": [first], "doc_ids": [docs], "n_tokens": [sizes], "checkpoints": [checkpoints], "payload": [payload]}
 
         for b in batches:
-            rows = zip(*(b[c].to_pylist() for c in ("doc_id", "bucket", "n", "pos", "zids")), strict=True)
+            rows = zip(*(b[c].to_pylist() for c in ("doc_id", "bucket", "n", "pos")), map(pa.BinaryScalar.as_buffer, b["zids"]), strict=True)
             for doc_id, bucket, n, pos, z in rows:
                 start = before[bucket] + pos
                 if docs and (start != first + at or at >= BLOCK):
@@ -205,11 +232,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
     spark = docs.sparkSession
     bounds = range_bounds(docs, "doc_id", partitions(spark))
     dealt = _encoded(docs, tokenizer, end_id, bounds).repartitionById(max(1, len(bounds)), F.col("bucket"))
-    encoded = stage(_with_position(dealt.sortWithinPartitions("bucket", "doc_id", "n", "zids")), "ids", codec="uncompressed")
-    before, total = {}, 0
+    every = stage(_with_position(dealt.sortWithinPartitions("bucket", "doc_id", "n", "zids")), "ids", codec="uncompressed")
+    encoded, before, total = every.where("n >= 0"), {}, 0
     for r in encoded.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect():  # a row per partition
         before[r.bucket], total = total, total + r.n
-    lengths = code_lengths(symbol_counts(encoded))
+    lengths = code_lengths(symbol_counts(every))
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(s), int(lengths[s])) for s in used], "symbol int, length int").coalesce(1).write.parquet(f"{path}/codebook")
     _blocks(encoded, Codebook(lengths), before).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
