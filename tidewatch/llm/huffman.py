@@ -15,6 +15,7 @@ import uuid
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from tidewatch.llm.byte_level import encoder
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Longest code in bits; ids between checkpoints; ids after which a block is closed.
 MOST_BITS, STRIDE, BLOCK = 18, 256, 1 << 19
+#: Ids that are coded at a time (a multiple of ``STRIDE``).
+PART = 1 << 16
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
@@ -82,8 +85,8 @@ class Codebook:
         """Payload and checkpoints of ``ids``."""
         total = int(self.short[ids].sum(dtype=np.int64))
         words, marks, base = np.zeros((total >> 5) + 2, dtype=np.uint64), [np.empty(0, np.int64)], 0
-        for k in range(0, len(ids), BLOCK):  # a long document is encoded part by part
-            part = ids[k : k + BLOCK]
+        for k in range(0, len(ids), PART):  # in parts that a core's cache holds
+            part = ids[k : k + PART]
             size = self.short[part].astype(np.int64)
             ends = np.cumsum(size) + base
             at = ends - size
@@ -121,10 +124,15 @@ def _added(total: np.ndarray, more: np.ndarray) -> np.ndarray:
     return total
 
 
-def _unpacked(packed, dtype) -> np.ndarray:
+@lru_cache(maxsize=1)
+def _decompressor():
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype)
+    return zstandard.ZstdDecompressor()
+
+
+def _unpacked(packed, dtype) -> np.ndarray:
+    return np.frombuffer(_decompressor().decompress(packed), dtype)
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
