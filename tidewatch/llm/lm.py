@@ -118,7 +118,7 @@ class Vocabulary:
 
 
 class _Lookup:
-    """Symbols, counts' logs and keys of words, remembered by word."""
+    """Symbols, counts' logs and keys of words, remembered by word; the arrays have room for more words than are known."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -148,7 +148,10 @@ class _Lookup:
                 symbol[known], log[known] = v.symbol[at[known]], np.log10(v.c[at[known]] + 0.5)
             if h.size and not self.done and END in place and not known[place[END]]:
                 symbol[place[END]] = 0
-            self.symbol, self.log, self.h = np.concatenate([self.symbol, symbol.astype(np.uint16)]), np.concatenate([self.log, log]), np.concatenate([self.h, h])
+            if len(new) > len(self.h):
+                room = max(2 * len(new), 1 << 14)
+                self.symbol, self.log, self.h = (np.concatenate([x[: self.done], np.empty(room - self.done, x.dtype)]) for x in (self.symbol, self.log, self.h))
+            self.symbol[self.done : len(new)], self.log[self.done : len(new)], self.h[self.done : len(new)] = symbol, log, h
             self.done = len(new)
         return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
 
