@@ -6,9 +6,9 @@ its own). So that tables, junk and other languages have spots too, a content wor
 among its ``REACH`` neighbours on either side is an anchor as well. The rule is the same for texts of every
 length, and an edit changes only the spots around it. Likeness is the Jaccard similarity of two bags.
 
-The query compares fixed pairs, exactly, so that nothing is partitioned or pruned in it. ``likeness`` with a bound and ``length_part`` are
-for callers who compare many: bags alike by the bound are in the same or in neighbouring parts, and a comparison ends as soon as what is
-left of the shorter bag cannot reach it.
+The query compares fixed pairs, exactly, so that nothing is partitioned or pruned in it. ``likeness`` with a bound and ``length_part`` serve
+the join of all documents in ``spot_join``: bags alike by the bound are in the same or in neighbouring parts, and a comparison ends as soon
+as what is left of the shorter bag cannot reach it.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
         return float(len(a) == len(b))
     if len(a) > len(b):
         a, b = b, a
-    if least and (length_part(len(b), least) - length_part(len(a), least) > 1 or len(a) < least * len(b)):
+    if least and (length_part(len(b), least) - length_part(len(a), least) > 1 or len(a) < least * len(b) - 1e-9):
         return 0.0
     needed = least / (1 + least) * (len(a) + len(b)) - 1e-9  # common elements that the similarity takes
     common = 0
