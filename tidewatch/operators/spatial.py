@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.geo import RADIUS_KM, haversine_km
+from tidewatch.plans.shared import shared_dir
 
 KM_PER_DEGREE = math.pi * RADIUS_KM / 180
 
@@ -50,20 +52,26 @@ def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, k: int, start_km: float, most_km: float = 20040.0) -> DataFrame:
     """The ``k`` nearest of ``right`` for each of ``left`` (id, other_id, km, place), exactly.
 
-    A point is settled once ``k`` others lie within the radius; the rest are tried at twice the radius.
+    A point is settled once ``k`` others lie within the radius; the rest are tried at twice the radius. What a round finds and what
+    it leaves open are tables in the shared folder, so that no round repeats the ones before; the result reads the found ones.
     """
-    settled, open_, km = None, left.select("id", "lat", "lon"), start_km
-    order = Window.partitionBy("id").orderBy("km", "other_id")
-    while True:
-        found = within_km(open_, right, km).select("id", "other_id", "km")
-        ranked = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-        full = ranked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("id")
+    spark, folder = left.sparkSession, f"{shared_dir(left.sparkSession)}/nearest-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    settled, open_, km, at = None, left.select("id", "lat", "lon"), start_km, 0
+    of_id, last = Window.partitionBy("id"), False
+    while not last:
         last = km * 2 > most_km
-        part = ranked if last else ranked.join(full, "id")
-        settled = part if settled is None else settled.unionByName(part)
-        if last:
-            return settled
-        open_ = open_.join(full, "id", "left_anti")
-        if open_.limit(1).count() == 0:
-            return settled
-        km *= 2
+        found = within_km(open_, right, km).select("id", "other_id", "km")
+        ranked = found.withColumn("place", F.row_number().over(of_id.orderBy("km", "other_id"))).where(F.col("place") <= k)
+        ranked = kept(ranked.withColumn("_n", F.count(F.lit(1)).over(of_id)), f"found-{at}")
+        part = ranked if last else ranked.where(F.col("_n") >= k)
+        settled = part.drop("_n") if settled is None else settled.unionByName(part.drop("_n"))
+        if not last:
+            open_ = kept(open_.join(part.where(F.col("place") == 1).select("id"), "id", "left_anti"), f"open-{at}")
+            last = open_.limit(1).count() == 0
+        km, at = km * 2, at + 1
+    return settled
