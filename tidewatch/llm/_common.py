@@ -105,6 +105,17 @@ def range_bucket(column: Column, bounds: list[int]) -> Column:
     return (first + inside).cast("int")
 
 
+def join_hubs(rows: DataFrame, found: DataFrame, key: str | list[str], hub: int) -> DataFrame:
+    """``rows`` joined with ``found`` (``key``, ``_n`` and more, a row per key), without ``_n``.
+
+    Keys whose ``_n`` is above ``hub`` come by broadcast, so that no task holds all rows of one of them. ``_n`` counts rows, and ``hub``
+    is a set share of all rows, which bounds the number of such keys.
+    """
+    hubs = F.broadcast(found.where(F.col("_n") > hub))
+    rest = rows.join(hubs.select(key), key, "left_anti").join(found.where(F.col("_n") <= hub), key)
+    return rows.join(hubs, key).unionByName(rest).drop("_n")
+
+
 def to_arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -13,7 +13,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import stage, text_of
+from tidewatch.llm._common import join_hubs, stage, text_of
 
 # The filters' names in their order, the words, and the bounds of the failure conditions.
 FILTERS = "ABCDE"
@@ -54,14 +54,6 @@ def _classes(hashed: list[Column]) -> list[Column]:
     return out
 
 
-def _with(rows: DataFrame, found: DataFrame, key: str, hub: int) -> DataFrame:
-    """``rows`` joined with ``found`` (``key``, ``_n`` and more, a row per key). Keys of more than ``hub`` rows, of which there
-    are fewer than ``HUBS``, come by broadcast, so that no task holds all rows of one of them."""
-    hubs = F.broadcast(found.where(F.col("_n") > hub))
-    rest = rows.join(hubs.select(key), key, "left_anti").join(found.where(F.col("_n") <= hub), key)
-    return rows.join(hubs, key).unionByName(rest).drop("_n")
-
-
 def repeats(docs: DataFrame, rows: DataFrame, hashes=block_hashes) -> DataFrame:
     """(doc_id, _class) of the rows whose text is that of a smaller doc_id; ``rows`` holds doc_id and ``_c0``, ``_c1``, ...
 
@@ -73,7 +65,7 @@ def repeats(docs: DataFrame, rows: DataFrame, hashes=block_hashes) -> DataFrame:
     for r in range(last + 1):
         key = f"_c{r}"
         shared = stage(live.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "classes")
-        live = stage(_with(live, shared, key, hub).select("doc_id", *(f"_c{i}" for i in range(r + 1 if r < last else last, last + 1))), "live")
+        live = stage(join_hubs(live, shared, key, hub).select("doc_id", *(f"_c{i}" for i in range(r + 1 if r < last else last, last + 1))), "live")
     live = live.select("doc_id", F.col(f"_c{last}").alias("_class")).distinct()
 
     text = text_of()
@@ -82,7 +74,7 @@ def repeats(docs: DataFrame, rows: DataFrame, hashes=block_hashes) -> DataFrame:
     # Copies are combined before the shuffle; a class holds more than one text only where hashes collide.
     distinct = texts.groupBy("_class", "text").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
     kinds = stage(distinct.groupBy("_class").agg(F.count(F.lit(1)).alias("_kinds"), F.min("_least").alias("_least"), F.sum("_n").alias("_n")), "kinds")
-    pure = _with(live, kinds.where("_kinds = 1").drop("_kinds"), "_class", hub)
+    pure = join_hubs(live, kinds.where("_kinds = 1").drop("_kinds"), "_class", hub)
     mixed = kinds.where("_kinds > 1").select("_class")
     if not mixed.isEmpty():
         within = distinct.join(mixed, "_class", "left_semi").select("_class", "text", "_least")

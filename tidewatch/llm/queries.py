@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import _common, filter_audit, forced_bpe, huffman, licence_scan, lm, main_text, near_vectors, ngram_join, packing, secrets, spotsigs, toxicity
+from tidewatch.llm import _common, collocations, filter_audit, forced_bpe, huffman, licence_scan, lm, main_text, near_vectors, ngram_join, packing, secrets, spotsigs, toxicity
 
 
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(_common.documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(_common.documents(spark, sf_dir))
+
+
 def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan.scan_documents(_common.documents(spark, sf_dir))
 
@@ -58,10 +62,10 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     every = (
         op1_spotsigs, op2_packing, op3_main_text, op4_toxicity, op5_lm_score, op6_near_vectors, op7_ngram_join, op8_token_files, op9_forced_bpe, op10_secrets,
-        op12_licences, op13_filter_audit,
+        op11_collocations, op12_licences, op13_filter_audit,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_licences": licence_scan.scan_sql(), "op13_filter_audit": filter_audit.AUDIT_SQL}
+    return {"op11_collocations": collocations.mine_sql(), "op12_licences": licence_scan.scan_sql(), "op13_filter_audit": filter_audit.AUDIT_SQL}
