@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, places, scoring, text
-from tidewatch.operators import incidents, lake, merge, release, spatial, views
+from tidewatch.operators import incidents, lake, ledger, release, spatial, views
 from tidewatch.streaming import ordered, reports
 
 BEGIN = 1_700_000_000.0
@@ -22,7 +22,7 @@ def some_reports(n=400, seed=3, gap=900):
         region = rng.randrange(3)
         t[region] += rng.choice((0, 60, 300, gap, 4 * gap))
         lat = rng.choice((None, 50.0, 50.0)) and 50.0 + rng.choice(SPREAD)
-        rows.append((region, i, t[region], lat, lat and 30.0 + rng.choice(SPREAD), rng.random() < 0.1, rng.choice(PLACES), f"c{rng.randrange(6)}", f"text {i}", rng.choice([*merge.RANKS]), rng.random() < 0.2, rng.random() < 0.3, rng.randrange(15, 100)))
+        rows.append((region, i, t[region], lat, lat and 30.0 + rng.choice(SPREAD), rng.random() < 0.1, rng.choice(PLACES), f"c{rng.randrange(6)}", f"text {i}", rng.choice([*ledger.RANKS]), rng.random() < 0.2, rng.random() < 0.3, rng.randrange(15, 100)))
     return rows
 
 
@@ -60,54 +60,6 @@ def test_fold_against_a_plain_loop(spark, seed):
     assert incidents.cluster(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_merge_against_a_plain_loop(spark, seed):
-    rows = [dict(zip(NAMES, r)) for r in some_reports(seed=seed)]
-    tokens = ["north", "south"]
-    for r in rows:
-        r["district"] = next((k for k in tokens if k in (r["place"] or "").lower()), None)
-        r["rank"] = merge.RANKS[r["event_type"]]
-    all_, by_region = [], {}
-    for r in sorted(rows, key=lambda r: (r["region"], r["t"], r["id"])):
-        open_ = by_region.setdefault(r["region"], [])
-        i = naive_candidate(open_, r, True)
-        if i is None:
-            placed = r["lat"] is not None and not r["fallback"]
-            i = r | {"lat": r["lat"] if placed else None, "lon": r["lon"] if placed else None, "incident": r["id"], "message": r["id"], "source": r["channel"], "sources": {r["channel"]}, "n": 1, "last": r["t"]}
-            open_.append(i)
-            all_.append(i)
-            continue
-        better = r["rank"] > i["rank"] and (not i["official"] or r["official"] or r["media"])
-        if r["official"] and not i["official"]:
-            i |= {"source": r["channel"], "message": r["id"], "text": r["text"]}
-        elif better and (not i["official"] or r["official"]):
-            i["text"] = r["text"]
-        if better:
-            i |= {"event_type": r["event_type"], "rank": r["rank"]}
-        i |= {"official": i["official"] or r["official"], "media": i["media"] or r["media"], "significance": max(i["significance"], r["significance"]), "n": i["n"] + 1, "last": max(i["last"], r["t"])}
-        i["sources"].add(r["channel"])
-    df = spark.createDataFrame([tuple(r[n] for n in NAMES) for r in rows], SCHEMA).repartition(5)
-    df = df.withColumn("district", merge.districts(F.col("place"), tokens)).withColumn("rank", scoring.by_table(F.col("event_type"), merge.RANKS, 0).cast("int"))
-    out = merge.merged(df)
-    found = {r.incident: r for r in out.collect()}
-    assert set(found) == {i["incident"] for i in all_} and sum(r.n for r in found.values()) == len(rows)
-    for i in all_:
-        r = found[i["incident"]]
-        assert (r.n, r.event_type, r.official, r.media, r.significance, r.source, r.message, r.text, r.sources, r.last_t) == (
-            i["n"], i["event_type"], i["official"], i["media"], i["significance"], i["source"], i["message"], i["text"], sorted(i["sources"]), i["last"],
-        )
-    registry = spark.createDataFrame([("c0", 1.1, "official"), ("c1", 0.9, "monitor"), ("c2", 0.7, "other")], "source string, weight double, kind string")
-    for r in merge.scored(out, registry, F.col("incident") % 5 == 0).collect():
-        w = {"c0": 1.1, "c1": 0.9, "c2": 0.7}
-        total = sum(w.get(s, 0.4) for s in r.sources)
-        base = 95 if "c0" in r.sources and total >= 2 else 90 if "c0" in r.sources or r.official else 85 if total >= 1.5 - 1e-9 else 70 if total >= 1.2 - 1e-9 else 60 if "c1" in r.sources else 40
-        base = min(100, base + 8 * r.media)
-        heat = r.n == 1 and r.incident % 5 == 0
-        assert r.confidence == min(100, base + 25 * heat)
-        single = "OFFICIAL" if r.official else "VERIFIED" if base >= 80 or heat else "UNVERIFIED_SINGLE_SOURCE"
-        assert r.status == (single if r.n == 1 else "VERIFIED" if base >= 85 else "OFFICIAL" if r.official else "UNVERIFIED_SINGLE_SOURCE")
-
-
 def files_of(spark, rows, schema, path, n=4):
     """Rows in ``n`` files of a folder, in the order given, and one far later row that lets the watermark pass them all."""
     size = -(-len(rows) // n)

@@ -1,30 +1,9 @@
-"""The incident write path: reports fold into anchored incidents that merge sources, types, scores and statuses.
-
-A report joins the newest incident near by that began within 30 minutes, else the newest of the same place text within 25; places that
-name different districts keep apart. Scores of single reports, and what depends on a whole incident, are column expressions; only
-the order-dependent part is folded, one stretch of a region at a time, over sorted Arrow batches.
-"""
+"""Positions merged from several facts, and the district that a place names."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tidewatch.functions import scoring
-from tidewatch.operators.incidents import CELL_DEGREES, WINDOW_S, stretches
-
-TEXT_WINDOW_S = 25 * 60
-
-# Ranks of incident types.
-RANKS = {"direct_strike": 5, "casualties": 5, "destruction": 4, "explosion": 3, "fire": 3, "armed_conflict": 3, "air_defense": 2, "radar_track": 1, "general_alert": 0}
-
-REPORT = ["region", "id", "t", "lat", "lon", "fallback", "place", "district", "channel", "text", "event_type", "rank", "official", "media", "significance"]
-STATE = "region {region}, incident {id}, first_t double, last_t double, lat double, lon double, place string, source string, message {id}, text string, event_type string, official boolean, media boolean, significance int, n long, sources array<string>"
 
 
 def districts(place, tokens: list[str]) -> F.Column:
@@ -35,101 +14,6 @@ def districts(place, tokens: list[str]) -> F.Column:
     return out
 
 
-class Open:
-    """Incidents of one stretch that reports may still join, oldest first."""
-
-    def __init__(self):
-        self.incidents: list[dict] = []
-
-    def close(self, t: float) -> list[dict]:
-        done = [i for i in self.incidents if i["first_t"] < t - WINDOW_S]
-        self.incidents = self.incidents[len(done) :]
-        return done
-
-    def find(self, r: dict) -> dict | None:
-        near = None
-        if r["lat"] is not None and r["lon"] is not None and not r["fallback"]:
-            near = next((i for i in reversed(self.incidents) if i["lat"] is not None and math.hypot(i["lat"] - r["lat"], i["lon"] - r["lon"]) <= CELL_DEGREES), None)
-        if near is None and r["place"] is not None:
-            near = next((i for i in reversed(self.incidents) if i["place"] == r["place"] and i["first_t"] >= r["t"] - TEXT_WINDOW_S), None)
-        if near is not None and near["district"] and r["district"] and near["district"] != r["district"]:
-            return None
-        return near
-
-    def add(self, r: dict) -> None:
-        i = self.find(r)
-        if i is None:
-            own = r["lat"] is not None and r["lon"] is not None and not r["fallback"]
-            self.incidents.append(
-                r | {"incident": r["id"], "message": r["id"], "source": r["channel"], "first_t": r["t"], "last_t": r["t"], "n": 1, "sources": {r["channel"]}}
-                | {"lat": r["lat"] if own else None, "lon": r["lon"] if own else None}
-            )
-            return
-        upgrade = r["rank"] > i["rank"] and not (i["official"] and not r["official"] and not r["media"])
-        if r["official"] and not i["official"]:
-            i.update(source=r["channel"], message=r["id"], text=r["text"])
-        elif upgrade and not (i["official"] and not r["official"]):
-            i["text"] = r["text"]
-        if upgrade:
-            i.update(event_type=r["event_type"], rank=r["rank"])
-        i.update(official=i["official"] or r["official"], media=i["media"] or r["media"], significance=max(i["significance"], r["significance"]), last_t=max(i["last_t"], r["t"]), n=i["n"] + 1)
-        i["sources"].add(r["channel"])
-
-
-def merged(reports: DataFrame) -> DataFrame:
-    """Incidents of ``reports`` (the columns of ``REPORT``), one row each, in the order of (t, id) within a region.
-
-    ``official`` is judged before a report changes it. A row without channel counts as the source "". A region is cut where no report came for
-    longer than the window; a stretch without such a gap is folded by one task, batch by batch, holding the incidents still open.
-    """
-    rows = reports.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("fallback", "official", "media")}).withColumn("channel", F.coalesce("channel", F.lit("")))
-    cut = stretches(rows, WINDOW_S).select("_segment", *REPORT).repartition("region", "_segment").sortWithinPartitions("region", "_segment", "t", "id")
-    kinds = dict(reports.dtypes)
-    schema = T.StructType.fromDDL(STATE.format(**kinds))
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow, names = to_arrow_schema(schema), schema.names
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(done):
-            rows = [i | {"sources": sorted(i["sources"])} for i in done]
-            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], type=arrow.field(n).type) for n in names], schema=arrow)
-
-        now, state = None, Open()
-        for b in batches:
-            done = []
-            for r in b.to_pylist():
-                if (r["region"], r["_segment"]) != now:
-                    done += state.incidents
-                    now, state = (r["region"], r["_segment"]), Open()
-                done += state.close(r["t"])
-                state.add(r)
-            yield out(done)
-        yield out(state.incidents)
-
-    return cut.mapInArrow(work, schema)
-
-
-def scored(incidents: DataFrame, registry: DataFrame, thermal: F.Column | None = None) -> DataFrame:
-    """``incidents`` with trust, composite and status from ``registry`` (source, weight, kind: official, monitor or other); unknown sources weigh 0.4.
-
-    ``thermal`` says whether a heat source was seen near by: it adds 25 to the trust of a single report and verifies it. Of merged incidents trust from
-    85 on verifies, else an official report makes them official; of single ones it is an official report first, then trust from 80 on.
-    """
-    named = incidents.select("incident", F.explode("sources").alias("source")).join(registry, "source", "left")
-    weights = named.groupBy("incident").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce("weight", F.lit(0.4))).alias("_w"), F.count_if(F.col("kind") == "official").alias("_o"), F.count_if(F.col("kind") == "monitor").alias("_m")
-    )
-    out = incidents.join(weights, "incident")
-    trust = scoring.confidence(F.col("_n"), F.col("_w"), F.col("_o"), F.col("_m"), F.col("official"), F.col("media"))
-    heat = F.coalesce(thermal, F.lit(False)) & (F.col("n") == 1) if thermal is not None else F.lit(False)
-    out = out.withColumn("_base", trust).withColumn("confidence", F.least(F.lit(100), F.col("_base") + F.when(heat, 25).otherwise(0)))
-    one = F.when(F.col("official"), "OFFICIAL").when((F.col("_base") >= 80) | heat, "VERIFIED").otherwise("UNVERIFIED_SINGLE_SOURCE")
-    many = F.when(F.col("confidence") >= 85, "VERIFIED").when(F.col("official"), "OFFICIAL").otherwise("UNVERIFIED_SINGLE_SOURCE")
-    out = out.withColumn("status", F.when(F.col("n") == 1, one).otherwise(many)).withColumn("resonance", scoring.composite(F.col("significance"), F.col("confidence")))
-    return out.drop("_n", "_w", "_o", "_m", "_base")
-
-
 def fused(facts: DataFrame, key: str, least: float = 0.30) -> DataFrame:
     """Weighted centre of the facts (lat, lon, spread_m, confidence, reliability 1 to 6, credibility) of each ``key``, with how well they agree.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scoring, text
-from tidewatch.operators import incidents, lake, merge, release
+from tidewatch.operators import incidents, lake, release
 
 # Fixed values of the synthetic rule tables.
 SIGNIFICANCE = {"error": 80.0, "purchase": 60.0, "signup": 45.0, "click": 20.0}
@@ -93,23 +93,6 @@ def confusion(spark, sf):
     return g.select("*", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 4).alias("f1"))
 
 
-def incident_merge(spark, sf):
-    """The write path: incidents with merged sources, types, scores and statuses, by status and type."""
-    e, u = _events(spark, sf), F.col("user_id")
-    kind = F.element_at(F.create_map(*(F.lit(x) for p in (("error", "fire"), ("purchase", "explosion"), ("click", "air_defense"), ("signup", "general_alert")) for x in p)), F.col("event_type"))
-    kind = F.coalesce(kind, F.lit("radar_track"))
-    place = F.concat(F.element_at(F.array(*map(F.lit, ("North", "South", "Mill", "Quay"))), (u % 4 + 1).cast("int")), F.lit(" district "), u % 6)
-    rows = e.select(
-        (u % 8).alias("region"), F.col("event_id").alias("id"), _seconds().alias("t"), F.when(u % 5 > 0, u % 50 / 100.0).alias("lat"), (u * 7 % 50 / 100.0).alias("lon"), (F.col("event_id") % 9 == 0).alias("fallback"),
-        place.alias("place"), merge.districts(place, ["north", "south", "mill"]).alias("district"), F.concat(F.lit("n_"), u % 40).alias("channel"), F.col("props").alias("text"), kind.alias("event_type"),
-        scoring.by_table(kind, merge.RANKS, 0).cast("int").alias("rank"), (u % 11 == 0).alias("official"), (F.col("event_id") % 4 == 0).alias("media"), (F.col("value") % 85 + 15).cast("int").alias("significance"),
-    )
-    k = F.col("n_nationkey")
-    registry = _table(spark, sf, "nation").select(F.concat(F.lit("n_"), k).alias("source"), (F.lit(0.3) + k % 7 / 10.0).alias("weight"), F.when(F.col("n_regionkey") == 0, "official").when(F.col("n_regionkey") == 1, "monitor").otherwise("other").alias("kind"))
-    out = merge.scored(merge.merged(rows), registry, thermal=F.col("incident") % 6 == 0)
-    return out.groupBy("status", "event_type").agg(F.count(F.lit(1)).alias("incidents"), F.sum("n").alias("reports"), F.sum("confidence").cast("long").alias("trust"), F.sum("resonance").cast("long").alias("resonance"))
-
-
 def gap_percentiles(spark, sf):
     """Gaps of at most 180 minutes between a source's reports: mean, upper median and p90 by index, clamped."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -250,7 +233,7 @@ def health(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    recent_by_type, stats, top_sources, spike, hourly_pivot, local_hours, factor_shares, confusion, incident_merge, gap_percentiles, burst, keep_last, top_reports, scores, reputation, evidence_fusion, release_view,
+    recent_by_type, stats, top_sources, spike, hourly_pivot, local_hours, factor_shares, confusion, gap_percentiles, burst, keep_last, top_reports, scores, reputation, evidence_fusion, release_view,
     lake_upsert, retention, alert_changes, incident_fold, incident_fold_spatial, text_clean, text_rules, quality_sweep, health,
 )}
 

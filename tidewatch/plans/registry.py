@@ -6,9 +6,9 @@ FLAGSHIP = "incident_fold"
 
 
 def _modules():
-    from tidewatch.plans import event_queries, feed_queries, place_queries, relation_queries, report_queries, stream_queries
+    from tidewatch.plans import event_queries, feed_queries, incident_queries, place_queries, relation_queries, report_queries, stream_queries
 
-    return event_queries, feed_queries, relation_queries, place_queries, report_queries, stream_queries
+    return event_queries, feed_queries, incident_queries, relation_queries, place_queries, report_queries, stream_queries
 
 
 def queries() -> dict:
