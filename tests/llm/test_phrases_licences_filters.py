@@ -75,12 +75,11 @@ def test_fragments_hold_each_phrase_once():
             if len(g) == k and all(g):
                 plain[g] = plain.get(g, 0) + 1
     for many in (1, 3):
-        groups: dict = {}
-        for pivot, part, rows, counts in collocations.fragments(x, np.full(9, many)):
-            groups.setdefault((pivot, part), []).append((rows, counts))
+        keys, rows, counts = collocations.fragments(x, np.full(9, many))
         found: dict = {}
-        for (pivot, part), held in groups.items():
-            for phrases, n in collocations.mine(pivot, part, np.concatenate([r for r, _ in held]), np.concatenate([c for _, c in held]), 5):
+        for key in np.unique(keys).tolist():
+            pivot, part = collocations.split_key(key)
+            for phrases, n in collocations.mine(pivot, part, rows[keys == key], counts[keys == key], 5):
                 for p, c in zip(phrases.tolist(), n, strict=True):
                     assert tuple(p) not in found and max(p) == pivot
                     found[tuple(p)] = int(c)

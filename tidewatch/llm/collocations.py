@@ -28,8 +28,10 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 HELD = 300_000
 #: Tokens that a task gathers before it sends fragments; entries of its word counts before it sends them.
 GATHERED, COUNTED = 1 << 20, 1 << 20
-#: Occurrences of a pivot from which its partition is split; fragments of a row, and of a group before equal ones are combined.
-SPLIT, ROW, COMBINE = 200_000, 400, 500_000
+#: Occurrences of a pivot from which its partition is split; fragments of a row, and of a bucket before equal ones are combined.
+SPLIT, ROW, COMBINE = 200_000, 4000, 500_000
+#: Buckets of pivots for each shuffle partition; a task holds one bucket at a time.
+BUCKETS = 16
 #: A word with more than one in so many of all occurrences is a hub; there are fewer hubs than that.
 HUBS = 5000
 _SIDE = LONGEST - 1
@@ -93,8 +95,8 @@ def _combined(keys: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> tuple[n
     return keys[starts], rows[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-def fragments(ids: np.ndarray, parts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(pivot, part, neighbours, counts) of the words ``ids``, in which 0 is a place that no phrase crosses.
+def fragments(ids: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, neighbours, counts) of the words ``ids``, in which 0 is a place that no phrase crosses; ``split_key`` tells a key's pivot and part.
 
     ``parts`` has the number of parts of each word's partition. Of a split pivot, phrases that begin left of it go by the
     word before it to parts from 0 on, those that begin with it by the word behind it to parts below -1, so each phrase is in one.
@@ -114,15 +116,24 @@ def fragments(ids: np.ndarray, parts: np.ndarray) -> Iterator[tuple[int, int, np
     whole, left, right = (many == 1) & ((before > 0) | (behind > 0)), (many > 1) & (before > 0), (many > 1) & (behind > 0)
     headless = rows[right]
     headless[:, :_SIDE] = 0
-    deal = lambda words, n: ((words.astype(np.uint64) * np.uint64(0x9E3779B1)) >> np.uint64(7)).astype(np.int64) % n
-    part = np.concatenate([np.full(whole.sum(), -1), deal(before[left], many[left]), -2 - deal(behind[right], many[right])])
+    part = np.concatenate([np.full(whole.sum(), -1), _dealt(before[left]) % many[left], -2 - _dealt(behind[right]) % many[right]])
     keys = np.concatenate([pivots[whole], pivots[left], pivots[right]]).astype(np.int64) << 24 | (part + (1 << 23))
-    keys, rows, counts = _combined(keys, np.concatenate([rows[whole], rows[left], headless]), np.ones(len(keys), np.int64))
-    bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else [0]
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        pivot, own = int(keys[a]) >> 24, (int(keys[a]) & ((1 << 24) - 1)) - (1 << 23)
-        for i in range(a, b, ROW):
-            yield pivot, own, rows[i : min(i + ROW, b)], counts[i : min(i + ROW, b)]
+    return _combined(keys, np.concatenate([rows[whole], rows[left], headless]), np.ones(len(keys), np.int64))
+
+
+def split_key(key: int) -> tuple[int, int]:
+    return key >> 24, (key & ((1 << 24) - 1)) - (1 << 23)
+
+
+def _dealt(values: np.ndarray) -> np.ndarray:
+    """A hash below 2**31 of whole numbers."""
+    return ((values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of equal values."""
+    bounds = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, int)
+    yield from zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
 
 
 def mine(pivot: int, part: int, rows: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -201,13 +212,18 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, least: int, held: int =
         pending, n = [], 0
 
         def flush() -> Iterator[dict]:
-            out: dict[str, list] = {"pivot": [], "part": [], "rows": [], "counts": []}
-            for pivot, part, rows, counts in fragments(np.concatenate(pending), parts):
-                for k, v in zip(out, (pivot, part, rows.tobytes(), counts.astype("<u4").tobytes()), strict=True):
-                    out[k].append(v)
-                if len(out["pivot"]) >= 5000:
-                    yield out
-                    out = {k: [] for k in out}
+            keys, rows, counts = fragments(np.concatenate(pending), parts)
+            own = _dealt(keys) % buckets
+            order = np.argsort(own, kind="stable")
+            own, keys, rows, counts = own[order], keys[order], rows[order], counts[order]
+            out: dict[str, list] = {"bucket": [], "n": [], "packed": []}
+            for a, b in _runs(own):
+                for i in range(a, b, ROW):
+                    j = min(i + ROW, b)
+                    # Columns one after the other, as the values of one are alike.
+                    packed = keys[i:j].tobytes() + counts[i:j].astype("<u4").tobytes() + rows[i:j].T.tobytes()
+                    for k, v in zip(out, (int(own[i]), j - i, pa.compress(packed, codec="zstd", asbytes=True)), strict=True):
+                        out[k].append(v)
             yield out
 
         for ids in arrays:
@@ -219,7 +235,7 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, least: int, held: int =
         if pending:
             yield from flush()
 
-    fields = "pivot int, part int, rows binary, counts binary"
+    buckets, fields = BUCKETS * partitions(spark), "bucket int, n int, packed binary"
     if size <= held:
         codes: dict[str, dict[bytes, int]] = {}
         for r in words.select("lang", "word", "id").collect():  # HELD rows at most
@@ -242,34 +258,41 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, least: int, held: int =
 
         routed = map_batches(_coded(docs, words, total), lambda batches: sent(spread(batches)), fields)
 
+    def unpacked(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = pa.decompress(packed, decompressed_size=n * (12 + 2 * _SIDE * kind.itemsize), codec="zstd", asbytes=True)
+        keys, counts = np.frombuffer(flat, np.int64, n), np.frombuffer(flat, "<u4", n, 8 * n).astype(np.int64)
+        return keys, np.frombuffer(flat, kind, offset=12 * n).reshape(2 * _SIDE, n).T, counts
+
     def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        now, rows, counts, pending = None, [], [], 0
+        now, held, pending = None, [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            every = np.concatenate(rows)
-            _, every, n = _combined(np.zeros(len(every), np.int64), every, np.concatenate(counts))
-            return every, n
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return _combined(*map(np.concatenate, zip(*held, strict=True)))
 
         def results() -> Iterator[dict]:
-            if now is not None and sum(int(c.sum()) for c in counts) >= least:
-                for phrases, n in mine(*now, *merged(), least):
-                    yield {"ids": phrases.astype(np.int32).tolist(), "n": n}
+            out: dict[str, list] = {"ids": [], "n": []}
+            if held:
+                keys, rows, counts = merged()
+                for a, b in _runs(keys):
+                    if counts[a:b].sum() >= least:
+                        for phrases, n in mine(*split_key(int(keys[a])), rows[a:b], counts[a:b], least):
+                            out["ids"] += phrases.tolist()
+                            out["n"] += n.tolist()
+            yield out
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("pivot", "part", "rows", "counts")]
-            for pivot, part, own, n in zip(*columns, strict=True):
-                if (pivot, part) != now:
+            for bucket, n, packed in zip(batch.column("bucket").to_pylist(), batch.column("n").to_pylist(), batch.column("packed"), strict=True):
+                if bucket != now:
                     yield from results()
-                    now, rows, counts, pending = (pivot, part), [], [], 0
-                rows.append(np.frombuffer(own, kind).reshape(-1, 2 * _SIDE))
-                counts.append(np.frombuffer(n, "<u4").astype(np.int64))
-                pending += len(counts[-1])
+                    now, held, pending = bucket, [], 0
+                held.append(unpacked(n, packed.as_buffer()))
+                pending += n
                 if pending > COMBINE:
-                    one, n = merged()
-                    rows, counts, pending = [one], [n], 0
+                    held = [merged()]
+                    pending = 0
         yield from results()
 
-    dealt = routed.repartition(partitions(spark), "pivot", "part").sortWithinPartitions("pivot", "part")
+    dealt = routed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     return map_batches(dealt, mined, "ids array<int>, n long")
 
 
