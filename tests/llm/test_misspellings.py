@@ -61,3 +61,35 @@ def test_a_clean_word_near_a_term_is_no_hit_and_digits_hide_no_term():
     rows, text = corpus()
     scorer = toxicity.fit([*rows, *((text(["crown"]), 0) for _ in range(20))]).scorer()
     assert scorer.hits("crown") == [] and [k for _, k, _ in scorer.hits("2idiot idiot4you a1idiot7b")] == [1, 1, 1]
+
+
+def test_misspelled_as_good_as_exact_on_held_out_labels():
+    """Every term of the held-out toxic rows misspelled, one edit each: recall stays within 0.03, and one or two misspelled insults score near as many exact ones."""
+    import zlib
+
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT doc_id, coalesce(text, ''), toxic FROM '{sf}/documents.parquet' JOIN '{sf}/labels.parquet' USING (doc_id)").fetchall()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    scorer = toxicity.fit(sorted((t, y) for i, t, y in rows if not held(i))).scorer()
+    rng = random.Random(1)
+
+    def misspelled(text):
+        out, at, low = [], 0, text.lower()
+        for m in toxicity._WORD.finditer(low):
+            w = m[0]
+            if scorer.kind[w] == 1 and len(w) >= toxicity.FUZZY_FROM:
+                i = rng.randrange(1, len(w))
+                out += [text[at : m.start()], rng.choice([w[:i] + "x" + w[i:], w[:i] + w[i + 1 :], w[:i] + "q" + w[i + 1 :], w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :]])]
+                at = m.end()
+        return "".join(out) + text[at:]
+
+    toxic, clean = ([t for i, t, y in rows if held(i) and y == k] for k in (1, 0))
+    exact = sum(scorer.score(t) >= 0.5 for t in toxic)
+    near = sum(scorer.score(misspelled(t)) >= 0.5 for t in toxic)
+    assert exact >= 0.9 * len(toxic) and exact - near <= 0.03 * len(toxic)
+    assert sum(scorer.score(t) >= 0.5 for t in clean) <= 0.01 * len(clean)
+    for n in (1, 2, 3):
+        plain, wrong = " so ".join(["idiot"] * n), " so ".join(["idoit"] * n)
+        assert scorer.score(plain) - 0.1 <= scorer.score(wrong) <= scorer.score(plain)

@@ -10,6 +10,7 @@ tells quotation from abuse. A logistic score combines abusive, misspelled and qu
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -30,8 +31,11 @@ FUZZY_FROM, STEMS, CONTINUATIONS = 4, (4, 5, 6, 7), 4
 #: Code points on either side of a hit that are searched for signs of quotation.
 WINDOW = 80
 
-#: Weights before any label is seen: none, a hit, its count, quoted hits, a misspelled hit, its count.
-PRIOR = [-4.0, 4.0, 2.0, 0.5, 3.0, 3.0]
+#: What a misspelled hit counts of an exact one, and the share of chance terms that a lexicon may hold.
+MISSPELLED, BY_CHANCE = 0.9, 0.05
+
+#: Weights before any label is seen: none, a hit, the count of hits, quoted hits.
+PRIOR = [-4.0, 4.0, 2.0, 0.5]
 
 # Quotation marks, and words that report another's.
 OPENING, CLOSING = "\"“„«‘‚‹", "\"”“»’‘›"
@@ -149,7 +153,8 @@ class Scorer:
         hits = self.hits(text)
         sure, others = sum(k == 1 and not q for _, k, q in hits), sum(q for *_, q in hits)
         near = sum(k == 2 and not q for _, k, q in hits)
-        return [1.0, float(sure > 0), float(np.log1p(sure)), float(np.log1p(others)), float(near > 0), float(np.log1p(near))]
+        any_hit = 1.0 if sure else MISSPELLED if near else 0.0
+        return [1.0, any_hit, float(np.log1p(sure + MISSPELLED * near)), float(np.log1p(others))]
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights, self.features(text)), -500, 500))))
@@ -169,24 +174,22 @@ def _half(text: str) -> int:
     return zlib.crc32(text.encode()) & 1
 
 
-def _examples(rows: list[tuple[str, int]], model: Model, alike: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and weights to fit on.
+def _examples(rows: list[tuple[str, int]], model: Model, alike: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels to fit on.
 
-    Misspellings are rare among labels, or absent. A toxic row therefore stands half as it is and
-    half with all its hits misspelled, while clean rows show false hits as a new document would: without
-    the lookalikes found in their own half.
+    Clean rows show false hits as a new document would: without the lookalikes found in their own half. Misspellings are rare among labels, or
+    absent, so they have no weights of their own.
     """
     scorer, others = model.scorer(), [Model(model.terms, model.weights, words).scorer() for words in alike]
-    out: list[tuple[list[float], float, float]] = []
-    for text, toxic in rows:
-        f = (scorer if toxic else others[1 - _half(text)]).features(text)
-        hits = np.expm1(f[2]) + np.expm1(f[5])
-        if toxic and hits:
-            out += [(f, 1.0, 0.5), ([1.0, 0.0, 0.0, f[3], 1.0, float(np.log1p(hits))], 1.0, 0.5)]
-        else:
-            out.append((f, float(toxic), 1.0))
-    x, y, weight = zip(*out, strict=True)
-    return np.array(x), np.array(y), np.array(weight)
+    return np.array([(scorer if y else others[1 - _half(t)]).features(t) for t, y in rows]), np.array([float(y) for _, y in rows])
+
+
+def _by_chance(k: int, n: int, share: float) -> float:
+    """How likely ``k`` or more of ``n`` are on a side that has ``share`` of all."""
+    if not n:
+        return 1.0
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share)
+    return min(1.0, sum(math.exp(log(i)) for i in range(k, n + 1)))
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -194,7 +197,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 
     A term counts by the different words before it, not by documents: copies of one
     toxic document repeat its words, but insults turn up in many surroundings. What clean documents quote
-    does not speak against a term.
+    does not speak against a term. A misspelled hit counts ``MISSPELLED`` of an exact one, whatever the labels.
     """
     n_toxic = sum(y for _, y in rows)
     if not n_toxic or n_toxic == len(rows):
@@ -205,11 +208,12 @@ def fit(rows: list[tuple[str, int]]) -> Model:
             words = set(_WORD.findall(_QUOTED.sub(" ", text.lower())))
             halves[_half(text)].update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k})
     clean = halves[0] + halves[1]
-    around, docs, more = defaultdict(set), Counter(), defaultdict(set)
+    around, docs, more, every = defaultdict(set), Counter(), defaultdict(set), set()
     most = max(0.02 * (len(rows) - n_toxic) / n_toxic, 1e-9)  # clean documents a term may have for each toxic one
     for text, y in rows:
         if y:
             words, seen = _WORD.findall(text.lower()), set()
+            every.update(words)
             for before, w in zip(["", *words], words, strict=False):
                 for t in (w, *(w[:k] + "*" for k in STEMS if len(w) > k)):
                     if clean[t] <= most * n_toxic * 0.05:
@@ -219,7 +223,12 @@ def fit(rows: list[tuple[str, int]]) -> Model:
                             more[t].add(w)
             docs.update(seen)
     least = max(4, 0.01 * n_toxic)
-    good = {t: len(a) for t, a in around.items() if min(len(a), docs[t]) >= least and clean[t] <= most * docs[t]}
+    # Of the many words of toxic documents some stand in no clean one by chance: the terms kept are the ones of least chance, as long as
+    # no more than a small share of them is expected to be chance (the rule of Benjamini and Hochberg).
+    chance = {t: _by_chance(k, k + clean[t], n_toxic / len(rows)) for t, a in around.items() if (k := min(len(a), docs[t])) >= least and clean[t] <= most * docs[t]}
+    ranked = sorted(chance.values())
+    bound = max((p for i, p in enumerate(ranked, 1) if p <= BY_CHANCE * i / len(every)), default=-1.0)
+    good = {t: len(around[t]) for t, p in chance.items() if p <= bound}
     stems = {t for t in good if t[-1] == "*" and len(more[t]) >= CONTINUATIONS}
     for t in sorted(stems, key=len, reverse=True):  # the longest stem that has its shorter one's support stands for both
         if t[:-2] + "*" in stems and t in stems:
@@ -232,15 +241,15 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     model = Model(sorted(stems | words))
     match = LexiconAutomaton(model.terms).match
     alike = Counter({w: n for w, n in clean.items() if w[-1] != "*" and not docs[w] and match(w)})
-    x, y, weight = _examples(rows, model, [[w for w in alike if half[w]] for half in halves])
+    x, y = _examples(rows, model, [[w for w in alike if half[w]] for half in halves])
     model.lookalikes = sorted(alike)
     prior = np.array(PRIOR)
-    loss = lambda w: weight @ (np.logaddexp(0, x @ w) - y * (x @ w)) + 0.25 * ((w - prior) ** 2).sum()
+    loss = lambda w: (np.logaddexp(0, x @ w) - y * (x @ w)).sum() + 0.25 * ((w - prior) ** 2).sum()
     w = prior.copy()
     for _ in range(100):  # Newton's method, steps halved until they help, with a small ridge around the prior weights
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        slope = x.T @ (weight * (y - p)) - 0.5 * (w - prior)
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), slope)
+        slope = x.T @ (y - p) - 0.5 * (w - prior)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), slope)
         while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
             step = step / 2
         w = w + step
