@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_queries import components as plain_components
-from tidewatch.llm import _common, components, huffman, lm, main_text, near_vectors, ngram_join, secrets, spotsigs, toxicity
+from tidewatch.llm import _common, byte_level, components, forced_bpe, huffman, lm, main_text, near_vectors, ngram_join, secrets, spotsigs, toxicity
+from tidewatch.llm.vocabularies import tokenizer_path
 
 
 def documents(spark, rows, parts=5):
@@ -266,3 +267,19 @@ def test_lexicon_has_no_cap():
             before.setdefault(w, set()).add(b)
     often = [w for w in bad if docs[w] >= 4 and len(before[w]) >= 4]
     assert len(often) > 1100 and [w for w in often if w not in terms] == []
+
+
+@pytest.mark.parametrize("kind", ["forced", "byte"])
+def test_memory_of_texts_without_spaces(kind):
+    """Long stretches are encoded like the library does and are not remembered, and memos forget by characters, not by entries alone."""
+    rng = random.Random(8)
+    coder = forced_bpe.ForcedBoundaryBPE(tokenizer_path(forced_bpe.TOKENIZER)) if kind == "forced" else byte_level.ByteLevelEncoder(tokenizer_path("byte_bpe_50k.json"))
+    for _ in range(120):
+        text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(4000))
+        ids = coder.encode(text)
+        want = coder.tok.encode(text, add_special_tokens=False).ids
+        assert (ids[1] == " ".join(map(str, want))) if kind == "forced" else ([*np.frombuffer(ids, coder.dtype)] == want)
+    memos = [v for v in vars(coder).values() if isinstance(v, byte_level._Memo)]
+    assert memos and all(m.held <= byte_level.CHARACTERS and max(map(m.length, m), default=0) <= byte_level.LONGEST for m in memos)
+    memo = byte_level._Memo(len, 100)
+    assert all(memo[f"{i:040}"] == 40 for i in range(1000)) and len(memo) <= 100 and memo.held == 40 * len(memo)

@@ -17,8 +17,10 @@ import numpy as np
 
 from tidewatch.llm.vocabularies import byte_characters, load, tokenizer_path
 
-#: Chunks that a worker remembers; the older half is forgotten beyond that.
+#: Chunks that a worker remembers at most; the older half is forgotten beyond that.
 REMEMBERED = 500_000
+#: Characters of a key from which it is not remembered, and of all keys of a memo: what texts without spaces may take is bounded.
+LONGEST, CHARACTERS = 64, 1 << 22
 
 #: The pre-tokenizer's pattern (a fixed value of byte-level vocabularies of this kind).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,17 +29,22 @@ _DENSE_SPACE = re.compile(r"\s (?:\s|$)")
 
 
 class _Memo(dict):
-    """A dict that computes what it misses, and forgets the older half when full."""
+    """A dict that computes what it misses, and forgets the older half when it has ``most`` entries or ``CHARACTERS`` of keys; long keys it never keeps."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, most: int, length=len):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.length, self.held = make, most, length, 0
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
-        if len(self) > self.most:
-            for old in list(self)[: self.most // 2]:
+        value, n = self.make(key), self.length(key)
+        if n > LONGEST:
+            return value
+        self[key] = value
+        self.held += n
+        if len(self) > self.most or self.held > CHARACTERS:
+            for old in list(self)[: len(self) // 2 + 1]:
                 del self[old]
+            self.held = sum(map(self.length, self))
         return value
 
 

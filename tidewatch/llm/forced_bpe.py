@@ -41,7 +41,7 @@ class ForcedBoundaryBPE:
         self.token = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         added = {t["content"]: t["id"] for t in kind.get("added_tokens", [])}
         self.added, self.special = added, re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.fragments = _Memo(self._merge, REMEMBERED)
+        self.fragments = _Memo(self._merge, REMEMBERED, lambda f: len(f[0]))
         self.words = _Memo(self._word, REMEMBERED // 2)
         self.chunks = _Memo(self._chunk, REMEMBERED)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm._common import fold, map_batches, slices, stage
-from tidewatch.llm.byte_level import REMEMBERED
+from tidewatch.llm.byte_level import CHARACTERS, REMEMBERED
 
 #: Symbols of words (the end among them) and of buckets; words whose counts every task holds at most.
 WORDS, BUCKETS, FREQUENT = 384, 128, 200_000
@@ -127,7 +127,7 @@ class _Lookup:
     def clear(self):
         self.place: dict[bytes, int] = {}
         self.words: list[bytes] = []
-        self.done = 0
+        self.done = self.held = 0
         self.symbol, self.log, self.h = np.empty(0, np.uint16), np.empty(0), np.empty(0, np.int64)
 
     def find(self, words: list[bytes]) -> np.ndarray:
@@ -137,6 +137,7 @@ class _Lookup:
             if w not in place:
                 place[w] = len(new)
                 new.append(w)
+                self.held += len(w)
         if self.done < len(new):
             fresh, v = new[self.done :], self.vocabulary
             h = np.fromiter(map(key, fresh), np.int64, len(fresh))
@@ -179,7 +180,7 @@ def symbols_of(docs: DataFrame, vocabulary) -> DataFrame:
                     out["n_known"].append(int((~rare).sum()))
                     out["rare"].append(lookup.h[at[rare]])
                     row += 1
-                    if lookup.done > REMEMBERED:
+                    if lookup.done > REMEMBERED or lookup.held > CHARACTERS * 8:
                         lookup.clear()
                         lookup.find([END])
                 yield out | {"doc_id": b["doc_id"], "held_out": b["held_out"]}
