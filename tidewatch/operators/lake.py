@@ -74,3 +74,32 @@ def feature_collection(df: DataFrame, properties: list[str]) -> DataFrame:
     """GeoJSON features, one per row."""
     point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
+
+
+def archive_and_prune(spark: SparkSession, table: DataFrame, path: str, key: str, ts: str, as_of) -> DataFrame:
+    """Archives ``table`` and returns what it keeps; a row is pruned only when the archive is seen to hold it.
+
+    What the archive lacks after the upsert (rows without key or time, or of a write that failed without a word) stays, whatever its age.
+    """
+    archive(spark, table.where(F.col(key).isNotNull() & F.col(ts).isNotNull()), path, key, ts)
+    held = spark.read.parquet(path).select(key).distinct().withColumn("_held", F.lit(True))
+    marked = table.join(held, key, "left")
+    safe, rest = marked.where("_held"), marked.where("_held is null")
+    return retained(safe, as_of).select(*table.columns).unionByName(rest.select(*table.columns))
+
+
+def merge_edges(edges: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``edges`` (source, target, weight, first_seen, last_seen, sample) with ``fresh`` forwards (source, target, ts, text) merged in.
+
+    Handles are trimmed, freed of their at sign and in small letters; forwards to oneself or without an end are none. The newest forward with a text gives the
+    sample, 500 characters at most; without one the old sample stays.
+    """
+    clean = lambda c: F.lower(F.ltrim(F.trim(c), F.lit("@")))
+    new = fresh.select(clean("source").alias("source"), clean("target").alias("target"), "ts", F.when(F.length("text") > 0, F.substring("text", 1, 500)).alias("text")).where("source <> target and source <> '' and target <> ''")
+    sample = F.max(F.when(F.col("text").isNotNull(), F.struct("ts", "text"))).alias("s")
+    new = new.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"), sample)
+    both = edges.join(new, ["source", "target"], "full")
+    return both.select(
+        "source", "target", (F.coalesce("weight", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("weight"), F.least("first_seen", "a").alias("first_seen"), F.greatest("last_seen", "b").alias("last_seen"),
+        F.coalesce("s.text", "sample").alias("sample"),
+    )

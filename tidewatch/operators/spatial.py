@@ -75,3 +75,23 @@ def nearest(left: DataFrame, right: DataFrame, k: int, start_km: float, most_km:
             last = open_.limit(1).count() == 0
         km, at = km * 2, at + 1
     return settled
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, km: float, seconds: float, hot: int = 50_000) -> DataFrame:
+    """For each of ``left`` (id, t seconds, lat, lon) the nearest of ``right`` (other_id, t, lat, lon) within ``km`` and ``seconds``, anywhere on the globe.
+
+    Rows meet by cell and span of clock time, the right ones in the cells and spans around theirs. A cell and span with more than ``hot`` left rows is
+    dealt to several parts, with its right rows in each; there are fewer such cells than the left rows over ``hot``. Of what a part finds only the best of each row goes on.
+    Distances are compared in whole metres, then the smaller ``other_id`` wins; a row without partner is left out.
+    """
+    slot = F.floor(F.col("t") / seconds)
+    here = _cells(left.select("id", F.col("t").cast("double").alias("t"), "lat", "lon").where("lat is not null and lon is not null and t is not null"), km, False).withColumn("_slot", slot)
+    there = _cells(right.select("other_id", F.col("t").cast("double").alias("_t"), "lat", "lon").where("lat is not null and lon is not null and t is not null"), km, True)
+    there = there.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}).withColumn("_slot", F.explode(F.array(*(F.floor(F.col("_t") / seconds) + k for k in (-1, 0, 1)))))
+    busy = here.groupBy("_cell", "_slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("_cell", "_slot", F.ceil(F.col("n") / hot).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    here = here.join(F.broadcast(busy), ["_cell", "_slot"], "left").withColumn("_part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("_parts")
+    there = there.join(F.broadcast(busy), ["_cell", "_slot"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    away = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), 3)
+    pairs = here.join(there, ["_cell", "_slot", "_part"]).where(F.abs(F.col("t") - F.col("_t")) <= seconds).withColumn("km", away).where(F.col("km") <= km)
+    return pairs.groupBy("id").agg(F.min(F.struct("km", "other_id")).alias("m")).select("id", "m.other_id", "m.km")

@@ -232,6 +232,7 @@ _TERMS = "|".join(TERMS)
 _NEWEST = "SELECT *, user_id % 8 AS region, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts DESC, event_id DESC) AS place FROM events"
 
 ORACLE = {
+    "day_digest": "WITH RECURSIVE e AS (SELECT user_id % 8 AS region, strftime(ts, '%Y-%m-%d') AS day, event_id AS id, user_id AS incident, floor(value)::BIGINT::VARCHAR AS signature, row_number() OVER (PARTITION BY user_id % 8, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS k FROM events), f AS (SELECT DISTINCT region, day, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS seen, CAST([] AS VARCHAR[]) AS signed, CAST(NULL AS BIGINT) AS id FROM e UNION ALL SELECT region, day, k, CASE WHEN new THEN list_append(seen, incident) ELSE seen END, CASE WHEN new AND signature IS NOT NULL THEN list_append(signed, signature) ELSE signed END, CASE WHEN new THEN id END FROM (SELECT e.*, f.seen, f.signed, NOT list_contains(f.seen, e.incident) AND (e.signature IS NULL OR NOT list_contains(f.signed, e.signature)) AS new FROM f JOIN e ON e.region = f.region AND e.day = f.day AND e.k = f.k + 1)) SELECT region, day, id FROM f WHERE id IS NOT NULL",
     "incremental_pull": f"WITH m AS (SELECT user_id, max(event_id) AS last FROM events WHERE ts <= {_NOW} - INTERVAL 12 HOUR AND user_id % 2 = 0 GROUP BY 1), f AS (SELECT user_id, event_id, last, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events LEFT JOIN m USING (user_id) WHERE ts >= {_NOW} - INTERVAL 24 HOUR AND (last IS NULL OR event_id > last)) SELECT user_id, event_id FROM f WHERE k <= CASE WHEN last IS NULL THEN 5 ELSE 20 END",
     "source_shards": "SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 20 AS shard FROM (SELECT DISTINCT user_id FROM events)",
     "thermal_times": "SELECT CASE WHEN user_id % 25 < 24 THEN strftime(ts, '%Y-%m-%d') || ' ' || lpad((user_id % 25)::VARCHAR, 2, '0') || ':00' END AS hour, count(*) AS n FROM events GROUP BY 1",

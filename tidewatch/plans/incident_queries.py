@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scoring
-from tidewatch.operators import ledger, merge
+from tidewatch.operators import lake, ledger, merge, quality
 
 KINDS = (("error", "fire"), ("purchase", "explosion"), ("click", "air_defense"), ("signup", "general_alert"))
 NAMES, TOKENS = ("North", "South", "Mill", "Quay"), ("north", "south", "mill")
@@ -65,6 +65,32 @@ def incident_assets(spark, sf):
     return ledger.with_assets(ledger.merged(_trusted(spark, sf)), assets, 6.0).select("region", "incident", "asset")
 
 
+def consensus_rate(spark, sf):
+    """Share of incidents that two sources or more agree on, by region."""
+    return quality.consensus(ledger.merged(_trusted(spark, sf)), "region")
+
+
+def review_rates(spark, sf):
+    """Share of a channel's reviewed reports that were confirmed."""
+    decision = F.when(~F.col("reviewed"), "OPEN").when(F.col("confirmed"), "CONFIRMED_ANALYST").when(F.col("media"), "DISCARDED_NOISE").otherwise("REJECTED_ANALYST")
+    return quality.review_hits(_reports(spark, sf).withColumn("decision", decision), "channel")
+
+
+def rule_gates(spark, sf):
+    """A rule for good documents, by its labels: what it should change, by language."""
+    d, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    rule = (F.col("n_chars") >= 600) & ~F.col("text").rlike("[#$%&*|]")
+    return quality.gates(d.join(labels, "doc_id").select("lang", rule.alias("predicted"), (F.col("quality") == 1).alias("expected")), "lang")
+
+
+def edge_merge(spark, sf):
+    """Forward edges of the first half of all reports with those of the second half merged in."""
+    e = _table(spark, sf, "events")
+    f = e.select("event_id", F.concat(F.lit(" @N_"), F.col("user_id") % 20).alias("source"), F.concat(F.lit("n_"), (F.col("user_id") * 3 + F.col("event_id")) % 20).alias("target"), F.col("event_id").alias("ts"), F.when(F.col("event_id") % 4 > 0, F.col("props")).alias("text"))
+    none = spark.createDataFrame([], "source string, target string, weight long, first_seen long, last_seen long, sample string")
+    return lake.merge_edges(lake.merge_edges(none, f.where("event_id % 2 = 0")), f.where("event_id % 2 = 1"))
+
+
 _REPORTS = f"""
 base AS (
     SELECT user_id % 8 AS region, event_id AS id, epoch_us(ts) / 1000000 / 16 AS t, CASE WHEN user_id % 5 > 0 THEN user_id % 50 / 100.0::DOUBLE + event_id % 7 / 200.0::DOUBLE END AS lat, user_id * 7 % 50 / 100.0::DOUBLE AS lon,
@@ -189,9 +215,18 @@ best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY region, inci
 SELECT region, incident, CASE WHEN name IS NOT NULL THEN 'supplier: ' || name || ' (' || floor(km * 1000)::BIGINT || ' m)' END AS asset FROM done LEFT JOIN best USING (region, incident)
 """
 
-QUERIES = {f.__name__: f for f in (incident_merge, incident_assets, reputation_as_of)}
+QUERIES = {f.__name__: f for f in (incident_merge, incident_assets, reputation_as_of, consensus_rate, review_rates, rule_gates, edge_merge)}
 ORACLE = {
     "incident_merge": _MERGE_SQL,
     "incident_assets": _ASSETS_SQL,
     "reputation_as_of": f"WITH {_REPORTS} SELECT id, channel, round(rep, 6) AS reputation FROM reports",
+    "consensus_rate": f"{_FOLD} SELECT region, count(*) AS incidents, count(*) FILTER (len(i.sources) >= 2) AS multi_source, count(*) FILTER (i.official) AS official, round(count(*) FILTER (len(i.sources) >= 2) * 100.0 / count(*), 1)::DOUBLE AS consensus_rate FROM done GROUP BY region",
+    "review_rates": f"WITH {_REPORTS} SELECT channel, count(*) FILTER (reviewed AND confirmed) AS confirmed, count(*) FILTER (reviewed AND NOT confirmed) AS refuted, round(count(*) FILTER (reviewed AND confirmed) * 100.0 / nullif(count(*) FILTER (reviewed), 0), 1)::DOUBLE AS hit_rate FROM reports GROUP BY channel",
+    "rule_gates": r"""
+        WITH j AS (SELECT lang, n_chars >= 600 AND NOT regexp_matches(text, '[#$%&*|]') AS s, quality = 1 AS y FROM documents JOIN labels USING (doc_id)),
+        c AS (SELECT lang, count(*) FILTER (s AND y) AS tp, count(*) FILTER (s AND NOT y) AS fp, count(*) FILTER (NOT s AND y) AS fn, count(*) FILTER (NOT s AND NOT y) AS tn FROM j GROUP BY lang),
+        m AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS r FROM c)
+        SELECT lang, tp, fp, fn, tn, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1,
+            CASE WHEN r < 0.85 AND p < 0.9 THEN 'widen,narrow' WHEN r < 0.85 THEN 'widen' WHEN p < 0.9 THEN 'narrow' ELSE 'pass' END AS advice FROM m""",
+    "edge_merge": "WITH f AS (SELECT event_id, 'n_' || (user_id % 20) AS source, 'n_' || ((user_id * 3 + event_id) % 20) AS target, CASE WHEN event_id % 4 > 0 THEN substr(props, 1, 500) END AS text FROM events) SELECT source, target, count(*) AS weight, min(event_id) AS first_seen, max(event_id) AS last_seen, coalesce(arg_max(text, event_id) FILTER (event_id % 2 = 1 AND text IS NOT NULL), arg_max(text, event_id) FILTER (event_id % 2 = 0 AND text IS NOT NULL)) AS sample FROM f WHERE source <> target GROUP BY source, target",
 }

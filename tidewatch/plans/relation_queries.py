@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo
-from tidewatch.operators import merge, spatial
+from tidewatch.operators import hashes, merge, spatial
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,18 +40,9 @@ def radius_join(spark, sf):
 
 def space_time_nearest(spark, sf):
     """For every error the nearest purchase within 60 km and 8 hours."""
-    e = _read(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", "event_type", "t", *_place("user_id"))
-    left = e.where("event_type = 'error'").select(F.col("event_id").alias("id"), "t", "lat", "lon", F.floor(F.col("t") / 28_800_000_000).alias("slot"))
-    right = e.where("event_type = 'purchase'").select(F.col("event_id").alias("other_id"), F.col("t").alias("u"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    size = 60.0 / spatial.KM_PER_DEGREE
-    cell = lambda lat, lon: (F.floor(lat / size), F.floor(lon / (2 * size)))
-    right = right.withColumn("slot", F.explode(F.array(*(F.floor(F.col("u") / 28_800_000_000) + d for d in (-1, 0, 1)))))
-    r, c = cell(F.col("_lat"), F.col("_lon"))
-    right = right.withColumn("cell", F.explode(F.array(*(F.struct((r + i).alias("r"), (c + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
-    r, c = cell(F.col("lat"), F.col("lon"))
-    pairs = left.withColumn("cell", F.struct(r.alias("r"), c.alias("c"))).join(right, ["cell", "slot"]).where(F.abs(F.col("t") - F.col("u")) <= 28_800_000_000)
-    pairs = pairs.withColumn("km", F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), 3)).where("km <= 60")
-    return pairs.groupBy("id").agg(F.min(F.struct("km", "other_id")).alias("m")).select("id", F.col("m.other_id").alias("other_id"), F.col("m.km").alias("km"))
+    e = _read(spark, sf, "events").select("event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("t"), *_place("user_id"))
+    right = e.where("event_type = 'purchase'").withColumnRenamed("event_id", "other_id")
+    return spatial.nearest_in_time(e.where("event_type = 'error'").withColumnRenamed("event_id", "id"), right, 60.0, 28_800)
 
 
 def bearings(spark, sf):
@@ -141,16 +132,14 @@ def similar_images(spark, sf):
 
 
 def similar_hashes(spark, sf):
-    """For every vector the newest of the ``LOOKBACK`` before it whose hash of 24 signs differs in at most 5 bits, with the score of the match."""
-    v = _read(spark, sf, "embeddings").where("vec_id IS NOT NULL").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    sign = F.aggregate(F.zip_with(F.slice("e", 1, 24), F.sequence(F.lit(0), F.lit(23)), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
-    v = _ranked(v).select("vec_id", "rank", sign.alias("hash"))
-    block = F.floor(F.col("rank") / LOOKBACK)
-    o = v.select(F.col("vec_id").alias("other_id"), F.col("hash").alias("other"), F.col("rank").alias("other_rank"), block.alias("block"))
-    p = v.withColumn("block", F.explode(F.array(block, block - 1))).join(o, "block").where((F.col("other_rank") < F.col("rank")) & (F.col("other_rank") >= F.col("rank") - LOOKBACK))
-    p = p.withColumn("bits", F.bit_count(F.col("hash").bitwiseXOR(F.col("other")))).where("bits <= 5")
-    best = p.groupBy("vec_id").agg(F.max(F.struct("other_rank", "other_id", "bits")).alias("m"))
-    return best.select("vec_id", F.col("m.other_id").alias("other_id"), F.greatest(F.lit(50), 100 - F.col("m.bits") * 10).cast("int").alias("score"))
+    """For every document the newest of the ``LOOKBACK`` before it, thirty days old at most, whose hash of 64 bits (four from each sixteenth of the text) differs in at most 5, with the score of the match."""
+    k, n = F.col("doc_id"), F.length("text")
+    edge = lambda i: F.floor(n * i / 16).cast("int")
+    digits = F.concat(*(F.substring(F.md5(F.substring(F.col("text"), edge(i) + 1, edge(i + 1) - edge(i)).cast("binary")), 1, 1) for i in range(16)))
+    half = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("long")
+    hours = k + F.floor(k / 300) * 500
+    rows = _read(spark, sf, "documents").select(k.alias("id"), (hours * 3600).alias("t"), F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("hash"))
+    return hashes.newest_like(rows, LOOKBACK).select(F.col("id").alias("doc_id"), "other_id", hashes.score(F.col("bits")).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (nearest_shelters, radius_join, space_time_nearest, bearings, graph_degrees, top_forwarders, lineage, consensus, fused_centres, similar_images, similar_hashes)}
@@ -174,5 +163,5 @@ ORACLE = {
     "consensus": f"WITH {_EVIDENCE}, m AS (SELECT nation, sum(w * lat) / sum(w) AS a, sum(w * lon) / sum(w) AS b, avg(confidence) AS c, min(radius_m) AS r, count(*) AS n, arg_max(source, (confidence, -radius_m, source)) AS s FROM e GROUP BY 1), d AS (SELECT e.nation, max({_KM.format('e.lat', 'e.lon', 'a', 'b')}) * 1000 AS off FROM e JOIN m USING (nation) GROUP BY 1) SELECT m.nation, CASE WHEN off > 2000 OR n = 1 THEN s::VARCHAR ELSE 'consensus' END AS source, round(CASE WHEN off > 2000 OR n = 1 THEN e.lat ELSE a END, 5) AS lat, round(CASE WHEN off > 2000 OR n = 1 THEN e.lon ELSE b END, 5) AS lon, round(CASE WHEN off > 2000 OR n = 1 THEN e.confidence ELSE least(1.0, c + 0.15) END, 4) AS confidence, round(CASE WHEN n = 1 THEN e.radius_m WHEN off > 2000 THEN greatest(e.radius_m, off) ELSE greatest(10.0, r * 0.8) END, 1) AS radius_m, off > 2000 AS conflict FROM m JOIN d USING (nation) JOIN e ON e.nation = m.nation AND e.source = m.s",
     "fused_centres": f"WITH {_EVIDENCE}, u AS (SELECT *, confidence / pow(greatest(radius_m, 50.0), 2) AS v FROM e WHERE confidence >= 0.3), m AS (SELECT nation, sum(v * lat) / sum(v) AS a, sum(v * lon) / sum(v) AS b, sqrt(sum(v * pow(radius_m, 2)) / sum(v)) AS r, count(*) AS n, avg(confidence) AS c, max(reliability) AS rel, min(credibility) AS cred FROM u GROUP BY 1), k AS (SELECT nation, count(*) FILTER (confidence > 0.5 AND sqrt(pow((lat - a) * 111320.0, 2) + pow((lon - b) * 111320.0 * cos(radians(a)), 2)) > 2 * radius_m) AS conflicts FROM u JOIN m USING (nation) GROUP BY 1) SELECT nation, round(a, 6) AS lat, round(b, 6) AS lon, round(r, 1) AS radius_m, n AS sources, conflicts, round(c, 3) AS confidence, substr('FEDCBA', rel, 1) || cred || CASE WHEN conflicts > 0 THEN '!' ELSE '' END AS grade FROM m JOIN k USING (nation)",
     "similar_images": f"WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.label = b.label AND b.k < a.k AND b.k >= a.k - {LOOKBACK}) SELECT vec_id, max(other_id) AS other_id, arg_max(cosine, other_id) AS cosine FROM p WHERE cosine >= {ALIKE} GROUP BY 1",
-    "similar_hashes": f"WITH v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k, list_sum([CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END FOR i IN range(1, 25)])::BIGINT AS h FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other_id, bit_count(xor(a.h, b.h)) AS bits FROM v a JOIN v b ON b.k < a.k AND b.k >= a.k - {LOOKBACK} WHERE bit_count(xor(a.h, b.h)) <= 5) SELECT vec_id, max(other_id) AS other_id, greatest(50, 100 - 10 * arg_max(bits, other_id))::INTEGER AS score FROM p GROUP BY 1",
+    "similar_hashes": f"WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, doc_id + floor(doc_id / 300) * 500 AS hour, list_aggregate([substr(md5(substr(text, (length(text) * i // 16 + 1)::BIGINT, (length(text) * (i + 1) // 16 - length(text) * i // 16)::BIGINT)), 1, 1) FOR i IN range(0, 16)], 'string_agg', '') AS h FROM documents), v AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2 FROM d), p AS (SELECT a.doc_id, b.doc_id AS other_id, b.k, bit_count(xor(a.h1, b.h1)) + bit_count(xor(a.h2, b.h2)) AS bits FROM v a JOIN v b ON b.k < a.k AND b.k >= a.k - {LOOKBACK} AND b.hour >= a.hour - 720) SELECT doc_id, arg_max(other_id, k) AS other_id, greatest(50, 100 - arg_max(bits, k) * 10)::INTEGER AS score FROM p WHERE bits <= 5 GROUP BY doc_id",
 }
