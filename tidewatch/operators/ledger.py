@@ -239,6 +239,19 @@ def reputations(reports: DataFrame, reviews: DataFrame, span_s: int = 3600) -> D
     return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in own), F.when(last.isNull(), 0.5).otherwise(a / (a + b)).alias("reputation"))
 
 
+def prepared(reports: DataFrame) -> DataFrame:
+    """``reports`` without nulls where they have a default, and with their repeats marked."""
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("fallback", "official", "media", "heat", "recycled")}
+    rest = {"channel": "", "kind": "other", "weight": 0.4, "reputation": 0.5, "reliability": 3, "credibility": 3, "radius_m": 2000.0, "rank": 0, "significance": 0}
+    rows = reports.withColumns(flags | {c: F.coalesce(c, F.lit(v)) for c, v in rest.items()}).withColumn("t", F.col("t").cast("double"))
+    return with_repeats(rows)
+
+
+def with_groups(rows: DataFrame) -> DataFrame:
+    """``prepared`` rows with ``_group``, the unit of the fold."""
+    return grouped(rows, WINDOW_S, REACH, ("place", "said"))
+
+
 def merged(reports: DataFrame) -> DataFrame:
     """Incidents of ``reports`` (the columns of ``REPORT`` but ``repeat``), one row each; reports count in the order of (t, id).
 
@@ -247,12 +260,14 @@ def merged(reports: DataFrame) -> DataFrame:
     has ended; repeats of other merged messages, or from another region, change nothing. The reputation of an incident is that of the report it stands for. Positions
     of equal place text that are farther apart than the reach are merged but not averaged. No task holds more than the open incidents of a group.
     """
-    flags = {c: F.coalesce(c, F.lit(False)) for c in ("fallback", "official", "media", "heat", "recycled")}
-    rest = {"channel": "", "kind": "other", "weight": 0.4, "reputation": 0.5, "reliability": 3, "credibility": 3, "radius_m": 2000.0, "rank": 0, "significance": 0}
-    rows = reports.withColumns(flags | {c: F.coalesce(c, F.lit(v)) for c, v in rest.items()}).withColumn("t", F.col("t").cast("double"))
-    rows = with_repeats(rows)
-    cut = grouped(rows, WINDOW_S, REACH, ("place", "said")).select("_group", *REPORT).repartition("region", "_group").sortWithinPartitions("region", "_group", "t", "id")
-    schema = T.StructType.fromDDL(INCIDENT.format(**dict(rows.dtypes)))
+    rows = prepared(reports)
+    return settled(with_groups(rows), rows)
+
+
+def settled(groups: DataFrame, every: DataFrame) -> DataFrame:
+    """Incidents of ``groups``, rows of whole groups (see ``with_groups``); ``every`` has the ``prepared`` rows among which late repeats are looked for."""
+    cut = groups.select("_group", *REPORT).repartition("region", "_group").sortWithinPartitions("region", "_group", "t", "id")
+    schema = T.StructType.fromDDL(INCIDENT.format(**dict(groups.dtypes)))
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow, names = to_arrow_schema(schema), schema.names
@@ -274,7 +289,7 @@ def merged(reports: DataFrame) -> DataFrame:
             yield out(done)
         yield out(state.open.values())
 
-    return _raised(cut.mapInArrow(work, schema), rows)
+    return _raised(cut.mapInArrow(work, schema), every)
 
 
 def _raised(incidents: DataFrame, rows: DataFrame) -> DataFrame:

@@ -42,17 +42,27 @@ def stream_once(spark, sf):
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
-def sensor_pairs(spark, sf):
-    """Errors and the clicks of the five minutes before within 22 km."""
-    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+def _sensors(e: DataFrame) -> DataFrame:
+    """Errors and the clicks of the five minutes before within 22 km, of a table or a stream of events."""
     k = F.col("user_id")
     e = e.withColumns({"lat": F.lit(44.0) + k * 7919 % 50 / 100.0, "lon": F.lit(22.0) + k * 104729 % 50 / 100.0})
     left = e.where("event_type = 'error'").select(F.col("event_id").alias("id"), "ts", "lat", "lon")
     right = e.where("event_type = 'click'").select(F.col("event_id").alias("hit"), F.col("ts").alias("heard_at"), F.col("lat").alias("hit_lat"), F.col("lon").alias("hit_lon"))
-    return reports.near_sensors(left, right).select("id", "hit", F.round("km", 3).alias("km"))
+    return reports.near_sensors(left, right)
+
+
+def sensor_pairs(spark, sf):
+    """Errors and the clicks of the five minutes before within 22 km."""
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _sensors(e).select("id", "hit", F.round("km", 3).alias("km"))
+
+
+def stream_sensor_pairs(spark, sf):
+    """The same pairs as a join of two watermarked streams."""
+    return _run(_sensors(_stream(spark, sf))).select("id", "hit", F.round("km", 3).alias("km"))
 
 
-QUERIES = {f.__name__: f for f in (stream_hours, stream_sliding, stream_once, sensor_pairs)}
+QUERIES = {f.__name__: f for f in (stream_hours, stream_sliding, stream_once, sensor_pairs, stream_sensor_pairs)}
 
 _KM = "2 * 6371.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
@@ -62,3 +72,4 @@ ORACLE = {
     "stream_once": "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1",
     "sensor_pairs": f"WITH e AS (SELECT event_id, event_type, ts, 44.0::DOUBLE + (user_id * 7919 % 50) / 100.0::DOUBLE AS lat, 22.0::DOUBLE + (user_id * 104729 % 50) / 100.0::DOUBLE AS lon FROM events) SELECT a.event_id AS id, b.event_id AS hit, round({_KM}, 3) AS km FROM e a JOIN e b ON a.event_type = 'error' AND b.event_type = 'click' AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 300 SECOND WHERE {_KM} <= 22",
 }
+ORACLE["stream_sensor_pairs"] = ORACLE["sensor_pairs"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.geo import haversine_km
+from tidewatch.operators.spatial import _cells
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -43,16 +44,17 @@ def tumbling(reports: DataFrame, length: str = "1 hour", slide: str | None = Non
 def near_sensors(reports: DataFrame, hits: DataFrame, km: float = 22.0, seconds: int = 300, late: str = "10 minutes") -> DataFrame:
     """(id, hit, km) of reports (id, ts, lat, lon) and sensor hits (hit, heard_at, hit_lat, hit_lon) at most ``km`` apart, the hit at most ``seconds`` older.
 
-    Over streams as over tables; cells of a degree of latitude and the interval bound the state and the join.
+    Over streams as over tables. Rows meet by cell, in both directions and over the whole globe, and by span of clock time, so that a key holds no more than the
+    rows of one neighbourhood and two spans; watermarks of both sides and the interval let the state go.
     """
-    size = km / 111.0
-    cell = F.floor(F.col("lat") / size).alias("cell")
-    left = reports.withWatermark("ts", late).select("id", "ts", "lat", "lon", cell)
-    right = hits.withWatermark("heard_at", late).withColumn("cell", F.explode(F.array(*(F.floor(F.col("hit_lat") / size) + i for i in (-1, 0, 1)))))
-    right = right.select("hit", "heard_at", "hit_lat", "hit_lon", F.col("cell").alias("hit_cell"))
-    on = (F.col("cell") == F.col("hit_cell")) & (F.col("heard_at") <= F.col("ts")) & (F.col("heard_at") >= F.col("ts") - F.expr(f"INTERVAL {seconds} SECONDS"))
-    away = haversine_km(F.col("lat"), F.col("lon"), F.col("hit_lat"), F.col("hit_lon"))
-    return left.join(right, on).withColumn("km", away).where(F.col("km") <= km).select("id", "hit", "km")
+    slot = lambda c: F.floor(F.unix_micros(c) / (seconds * 1_000_000))
+    left = _cells(reports.withWatermark("ts", late).select("id", "ts", "lat", "lon"), km, False).withColumn("_slot", slot("ts"))
+    right = hits.withWatermark("heard_at", late).select("hit", "heard_at", F.col("hit_lat").alias("lat"), F.col("hit_lon").alias("lon"))
+    right = _cells(right, km, True).withColumn("hit_slot", F.explode(F.array(slot("heard_at"), slot("heard_at") + 1)))
+    right = right.withColumnsRenamed({"lat": "hit_lat", "lon": "hit_lon", "_cell": "hit_cell"})
+    near = (F.col("heard_at") <= F.col("ts")) & (F.col("heard_at") >= F.col("ts") - F.expr(f"INTERVAL {seconds} SECONDS"))
+    pairs = left.join(right, (F.col("_cell") == F.col("hit_cell")) & (F.col("_slot") == F.col("hit_slot")) & near)
+    return pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("hit_lat"), F.col("hit_lon"))).where(F.col("km") <= km).select("id", "hit", "km")
 
 
 def publish(reports: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("event_id",), late: str = "24 hours", every: str | None = None):
