@@ -283,3 +283,12 @@ def test_memory_of_texts_without_spaces(kind):
     assert memos and all(m.held <= byte_level.CHARACTERS and max(map(m.length, m), default=0) <= byte_level.LONGEST for m in memos)
     memo = byte_level._Memo(len, 100)
     assert all(memo[f"{i:040}"] == 40 for i in range(1000)) and len(memo) <= 100 and memo.held == 40 * len(memo)
+
+
+def test_decoding_is_done_from_ids(spark, sf_dir):
+    """The ids alone decode to what the library decodes them to, and to what the query digests."""
+    coder = forced_bpe.ForcedBoundaryBPE(tokenizer_path(forced_bpe.TOKENIZER))
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()] + ["", " ", "Été straße 日本語 \n\t x", "<unk> a"]
+    for t in texts:
+        ids = coder.ids(t)
+        assert coder.decode(ids) == coder.encode(t)[2] == coder.tok.decode(ids, skip_special_tokens=False)

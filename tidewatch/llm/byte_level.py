@@ -20,7 +20,7 @@ from tidewatch.llm.vocabularies import byte_characters, load, tokenizer_path
 #: Chunks that a worker remembers at most; the older half is forgotten beyond that.
 REMEMBERED = 500_000
 #: Characters of a key from which it is not remembered, and of all keys of a memo: what texts without spaces may take is bounded.
-LONGEST, CHARACTERS = 64, 1 << 22
+LONGEST, CHARACTERS = 64, 1 << 23
 
 #: The pre-tokenizer's pattern (a fixed value of byte-level vocabularies of this kind).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

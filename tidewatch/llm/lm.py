@@ -180,7 +180,7 @@ def symbols_of(docs: DataFrame, vocabulary) -> DataFrame:
                     out["n_known"].append(int((~rare).sum()))
                     out["rare"].append(lookup.h[at[rare]])
                     row += 1
-                    if lookup.done > REMEMBERED or lookup.held > CHARACTERS * 8:
+                    if lookup.done > REMEMBERED or lookup.held > CHARACTERS * 4:
                         lookup.clear()
                         lookup.find([END])
                 yield out | {"doc_id": b["doc_id"], "held_out": b["held_out"]}
