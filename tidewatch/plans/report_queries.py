@@ -236,7 +236,7 @@ def subscriptions(spark, sf):
     k = F.col("c_custkey")
     own = F.array(F.concat(F.lit("d"), k % 6), F.concat(F.lit("d"), k * 5 % 7))
     subscribed = F.array_distinct(F.concat(own, F.flatten(F.filter(groups, lambda g: F.arrays_overlap(g, own)))))
-    s = _table(spark, sf, "customer").where("c_custkey % 10 = 0").select(k.alias("subscriber"), F.explode(subscribed).alias("tag"))
+    s = _table(spark, sf, "customer").select(k.alias("subscriber"), F.explode(subscribed).alias("tag"))
     e = _events(spark, sf).where("event_type = 'error'").select("event_id", F.explode(F.array_distinct(F.array(F.concat(F.lit("area"), F.col("user_id") % 8), F.concat(F.lit("d"), F.col("event_id") % 9)))).alias("tag"))
     told = s.join(e.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), "tag")
     return told.groupBy("subscriber").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("tags"))
@@ -292,5 +292,5 @@ ORACLE = {
     "street_addresses": f"SELECT {_STREET} AS street, count(*) AS n, count(*) AS with_building FROM customer WHERE c_custkey % 5 IN (1, 2) GROUP BY 1",
     "report_checks": f"WITH {_LOCATED}, w AS (SELECT id, min({_KM.format('l.lat', 'l.lon', 'o.lat', 'o.lon')}) AS km FROM l, (SELECT {_LAT.format('n_nationkey')} AS lat, {_LON.format('n_nationkey')} AS lon FROM nation) o WHERE l.lat IS NOT NULL GROUP BY 1), p AS (SELECT id, min({_KM.format('l.lat', 'l.lon', 'o.lat', 'o.lon')}) AS km FROM l, (SELECT {_LAT.format('s_suppkey')} AS lat, {_LON.format('s_suppkey')} AS lon FROM supplier) o WHERE l.lat IS NOT NULL GROUP BY 1), s AS (SELECT l.lat, CASE WHEN l.lat IS NULL THEN 25 ELSE least(100, 30 + CASE kind WHEN 'coordinate' THEN 25 WHEN 'address' THEN 20 ELSE 5 END + CASE WHEN w.km <= 5 THEN 35 WHEN w.km <= 15 THEN 20 ELSE 0 END + CASE WHEN p.km < 0.5 THEN 15 ELSE 0 END) END::INTEGER AS score, w.km <= 15 AS warned FROM l LEFT JOIN w USING (id) LEFT JOIN p USING (id)) SELECT CASE WHEN lat IS NULL THEN 'UNVERIFIED_PENDING' WHEN score >= 85 AND warned THEN 'CONFIRMED' WHEN score >= 65 THEN 'HIGH_PROBABILITY' WHEN score >= 40 THEN 'UNVERIFIED_PENDING' ELSE 'FALSE_ALARM' END AS status, score, count(*) AS n FROM s GROUP BY 1, 2",
     "nearest_sector": f"WITH s AS ({_SECTOR}), c AS (SELECT c_custkey, {_LAT.format('c_custkey')} AS lat, {_LON.format('c_custkey')} AS lon FROM customer), d AS (SELECT c_custkey, arg_min(sector, (pow(lat - slat, 2) + pow((lon - slon) * cos(radians(lat)), 2), sector)) AS sector FROM c, s GROUP BY 1) SELECT sector, count(*) AS n FROM d GROUP BY 1",
-    "subscriptions": "WITH o AS (SELECT c_custkey AS subscriber, unnest(['d' || (c_custkey % 6), 'd' || (c_custkey * 5 % 7)]) AS d FROM customer WHERE c_custkey % 10 = 0), s AS (SELECT DISTINCT subscriber, tag FROM (SELECT subscriber, d AS tag FROM o UNION ALL SELECT subscriber, 'area' || substr(d, 2) FROM o WHERE d <> 'd6')), e AS (SELECT DISTINCT event_id, tag FROM (SELECT event_id, unnest(['area' || (user_id % 8), 'd' || (event_id % 9)]) AS tag FROM events WHERE event_type = 'error')), n AS (SELECT tag, count(*) AS n FROM e GROUP BY 1) SELECT subscriber, sum(n)::BIGINT AS mentions, count(*) AS tags FROM s JOIN n USING (tag) GROUP BY 1",
+    "subscriptions": "WITH o AS (SELECT c_custkey AS subscriber, unnest(['d' || (c_custkey % 6), 'd' || (c_custkey * 5 % 7)]) AS d FROM customer), s AS (SELECT DISTINCT subscriber, tag FROM (SELECT subscriber, d AS tag FROM o UNION ALL SELECT subscriber, 'area' || substr(d, 2) FROM o WHERE d <> 'd6')), e AS (SELECT DISTINCT event_id, tag FROM (SELECT event_id, unnest(['area' || (user_id % 8), 'd' || (event_id % 9)]) AS tag FROM events WHERE event_type = 'error')), n AS (SELECT tag, count(*) AS n FROM e GROUP BY 1) SELECT subscriber, sum(n)::BIGINT AS mentions, count(*) AS tags FROM s JOIN n USING (tag) GROUP BY 1",
 }
