@@ -62,3 +62,33 @@ def test_edges(spark):
 def test_bound_is_reached_exactly():
     bag = spotsigs.spots(" ".join(f"w{k}" for k in range(200)))[:10]
     assert spotsigs.likeness(bag[:7], bag, 0.7) == 0.7
+
+
+def test_long_copies_meet_once(spark):
+    """Spots that the same texts share are one cell: long copies do not go to a task for each spot."""
+    rng = random.Random(8)
+    base = rng.choices(WORDS, k=15_000)
+    rows = []
+    for k in range(4):
+        text = list(base)
+        for _ in range(40 * k):
+            text[rng.randrange(len(text))] = f"new{rng.random()}"
+        rows.append((k, spotsigs.as_string(spotsigs.spots(" ".join(text)))))
+    classes = spark.createDataFrame(rows, "rep long, fingerprint string")
+    cells = spot_join._cells(classes, 0.8)
+    assert cells.count() > 4000
+    assert 0 < spot_join._met(cells).count() <= 2 * 2**4
+    found = spot_join.join_fingerprints(classes.withColumnRenamed("rep", "doc_id")).collect()
+    assert {(r.n_links, r.component_id) for r in found} == {(3, 0)}
+
+
+def test_query_equals_all_pairs(spark, tmp_path):
+    """The registered join, from texts on, against a comparison of all fingerprints."""
+    from tidewatch.llm import queries
+
+    rows = _texts(random.Random(3)) + [(900, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in queries.queries()["spotsigs_join"](spark, str(tmp_path)).collect()}
+    bags = {i: set(spotsigs.spots(t or "").tolist()) for i, t in rows}
+    alike = lambda a, b: a == b or (a and b and len(a & b) / len(a | b) >= 0.8 - 1e-9)
+    assert {i: r.n_links for i, r in found.items()} == {i: sum(j != i and bool(alike(bags[i], bags[j])) for j in bags) for i in bags}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import _common, collocations, filter_audit, forced_bpe, huffman, licence_scan, lm, main_text, near_vectors, ngram_join, packing, secrets, spotsigs, toxicity
+from tidewatch.llm import _common, collocations, filter_audit, forced_bpe, huffman, licence_scan, lm, main_text, near_vectors, ngram_join, packing, secrets, spot_join, spotsigs, toxicity
 
 
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +59,14 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def spotsigs_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_join.join_texts(_common.documents(spark, sf_dir))
+
+
 def queries() -> dict:
     every = (
         op1_spotsigs, op2_packing, op3_main_text, op4_toxicity, op5_lm_score, op6_near_vectors, op7_ngram_join, op8_token_files, op9_forced_bpe, op10_secrets,
-        op11_collocations, op12_licences, op13_filter_audit,
+        op11_collocations, op12_licences, op13_filter_audit, spotsigs_join,
     )
     return {f.__name__: f for f in every}
 

@@ -1,9 +1,10 @@
 """Join of SpotSigs fingerprints: parts by bag length, an index of rare spots, pruned Jaccard.
 
-Equal fingerprints form a class. Two bags alike by ``least`` share one of the rarest spots of each, and lie in one part
-of the lengths or in neighbouring ones; so classes meet in cells (spot, part), where each comes to its own part and to the
-next. A pair is compared in the cell of its first common spot alone, from the rarest on, and the comparison
-ends as soon as the bound is out of reach. Large cells are compared in tiles by different tasks; only counts of links and
+Equal fingerprints form a class. Spots have one order for all bags: by how often the group of hashes that they fall in occurs, then by hash.
+Two bags alike by ``least`` share one of the first spots of each, and lie in one part of the lengths or in neighbouring ones; so classes
+meet in cells (spot, part), where each comes to its own part and to the next. Cells of a part with the same members are one cell, so a
+text goes to a task once for each set of texts that it meets, however many spots it shares with them. A pair is compared in its first common cell alone, and the
+comparison ends as soon as the bound is out of reach. Large cells are compared in tiles by different tasks; only counts of links and
 spanning edges leave a task.
 """
 
@@ -15,50 +16,82 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import drop, map_batches, stage
+from tidewatch.llm._common import drop, map_batches, slices, stage
 from tidewatch.llm.components import components, join_labels, pairs_in_runs, tiles, whole_groups
-from tidewatch.llm.spotsigs import from_string, likeness
+from tidewatch.llm.spotsigs import as_string, from_string, length_part, likeness, spots
 
-#: Likeness of a link; classes, and spots, of a block (a tile compares two blocks).
-LEAST, TILE, SPOTS = 0.8, 512, 2_000_000
+#: Likeness of a link; classes, and spots, of a block (a tile compares two blocks); bits of a spot that name its group; rows of a batch.
+LEAST, TILE, SPOTS, GROUP_BITS, ROWS = 0.8, 512, 2_000_000, 18, 100_000
 
 
-def _spots(classes: DataFrame) -> DataFrame:
-    """(rep, spot) of every spot of every class."""
+def _often(classes: DataFrame) -> np.ndarray:
+    """How many spots of all classes fall in each group of hashes: a number for each of the 2^``GROUP_BITS`` groups, whatever the input."""
 
     def work(batches):
+        n = np.zeros(1 << GROUP_BITS, dtype=np.int64)
         for b in batches:
-            for k, s in zip(b["rep"].to_pylist(), b["fingerprint"].to_pylist(), strict=True):
-                bag = from_string(s).astype(np.int64)
-                if len(bag):
-                    yield {"rep": np.full(len(bag), k), "spot": bag}
-
-    return map_batches(classes.select("rep", "fingerprint"), work, "rep long, spot long")
+            for s in b["fingerprint"].to_pylist():
+                np.add.at(n, from_string(s) >> (32 - GROUP_BITS), 1)
+        at = np.flatnonzero(n)
+        yield {"at": at, "n": n[at]}
+
+    rows = map_batches(classes.select("fingerprint"), work, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << GROUP_BITS, dtype=np.int64)
+    out[rows["at"]] = rows["n"]
+    return out
 
 
 def _cells(classes: DataFrame, least: float) -> DataFrame:
-    """(rep, size, spot, before, cell, own): where each class looks for its like; ``before`` are its rarer shared spots.
+    """(rep, size, spot, cell, own): where each class looks for its like, a row for each of its first spots and both parts.
 
-    A bag of n spots looks among its n - ceil(least * n) + 1 rarest ones; those of one bag alone lead nowhere.
+    A bag of n spots looks among its n - ceil(least * n) + 1 first ones, in the order of all spots.
     """
-    spots = _spots(classes)
-    often = spots.groupBy("spot").agg(F.count(F.lit(1)).alias("n"))
-    bags = spots.join(often, "spot").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "spot"))).alias("bag"))  # as long as one text
-    size = F.size("bag")
-    rare = F.filter(F.slice("bag", 1, size - F.ceil(size * least - 1e-9).cast("int") + 1), lambda s: s["n"] > 1)
-    bags = bags.select("rep", size.alias("size"), F.transform(rare, lambda s: s["spot"]).alias("rare"))
-    part = F.floor(F.log(F.col("size").cast("double")) / -math.log(least) + 1e-9).cast("int")
-    each = bags.select("rep", "size", "rare", part.alias("part"), F.posexplode("rare").alias("at", "spot"))
-    each = each.withColumn("before", F.expr("slice(rare, 1, at)")).withColumn("cell", F.explode(F.array("part", F.col("part") + 1)))
-    return each.select("rep", "size", "spot", "before", "cell", (F.col("cell") == F.col("part")).alias("own"))
+    often = _often(classes)
+
+    def rows(rep, size, spot):
+        n, part = len(spot), np.array([length_part(k, least) for k in size.tolist()], dtype=np.int64)
+        own = np.repeat([True, False], n)
+        return {"rep": np.tile(rep, 2), "size": np.tile(size, 2), "spot": np.tile(spot, 2), "cell": np.concatenate([part, part + 1]), "own": own}
+
+    def work(batches):
+        held, n = [], 0
+        for b in batches:
+            for rep, s in zip(b["rep"].to_pylist(), b["fingerprint"].to_pylist(), strict=True):
+                bag = from_string(s)
+                if not len(bag):
+                    continue
+                k = len(bag) - math.ceil(least * len(bag) - 1e-9) + 1
+                first = bag[np.lexsort((bag, often[bag >> (32 - GROUP_BITS)]))[:k]].astype(np.int64)
+                held.append((np.full(k, rep), np.full(k, len(bag)), first))
+                n += k
+                if n >= ROWS:
+                    yield rows(*map(np.concatenate, zip(*held, strict=True)))
+                    held, n = [], 0
+        if held:
+            yield rows(*map(np.concatenate, zip(*held, strict=True)))
+
+    return map_batches(classes.select("rep", "fingerprint"), work, "rep long, size int, spot long, cell int, own boolean")
+
+
+def _met(cells: DataFrame) -> DataFrame:
+    """(spot, cell, blocks) of the cells to compare: those where two classes or more meet, one of them in its own part; of cells with the same members the first."""
+    who = F.struct("rep", "own")
+    met = cells.groupBy("spot", "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.max("own").alias("any"),
+        F.bit_xor(F.xxhash64(who)).alias("m1"), F.bit_xor(F.xxhash64(who, F.lit(1))).alias("m2"),
+    ).where("n > 1 and any")
+    met = met.groupBy("cell", "n", "s", "m1", "m2").agg(F.min("spot").alias("spot"))
+    return met.select("spot", "cell", F.ceil(F.greatest(F.col("n") / TILE, F.col("s") / SPOTS)).cast("int").alias("blocks"))
 
 
 def _links(classes: DataFrame, least: float) -> DataFrame:
     """(rep, n, m, root): links to documents and to classes by cell, and a class that they reach."""
     cells = stage(_cells(classes, least), "spot-cells")
-    busy = cells.groupBy("spot", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.max("own").alias("any")).where("n > 1 and any")
-    busy = busy.select("spot", "cell", F.ceil(F.greatest(F.col("n") / TILE, F.col("s") / SPOTS)).cast("int").alias("blocks"))
-    dealt = cells.join(busy, ["spot", "cell"]).join(classes.select("rep", "fingerprint", "weight"), "rep")
+    kept = stage(cells.join(_met(cells).hint("merge"), ["spot", "cell"]), "spot-met")
+    of = kept.groupBy("rep", "cell", "size", "own").agg(F.array_sort(F.collect_list(F.struct("spot", "blocks"))).alias("at"))  # no more than one text's first spots
+    of = of.withColumn("spots", F.transform("at", lambda x: x["spot"]))
+    dealt = of.join(classes.select("rep", "fingerprint", "weight").hint("merge"), "rep").select("*", F.posexplode("at").alias("i", "x"))
+    dealt = dealt.withColumn("before", F.expr("slice(spots, 1, i)")).withColumn("spot", F.col("x.spot")).withColumn("blocks", F.col("x.blocks"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     dealt = dealt.withColumn("tile", F.explode(tiles(F.col("block"), F.col("blocks"))))
     dealt = dealt.withColumn("diagonal", F.floor(F.col("tile") / F.col("blocks")) == F.pmod("tile", "blocks")).withColumn("key", F.xxhash64("spot", "cell", "tile"))
@@ -83,7 +116,7 @@ def _links(classes: DataFrame, least: float) -> DataFrame:
             yield {"rep": rep[linked], "n": n[linked], "m": m[linked], "root": rep[label[linked]]}
 
     out = stage(map_batches(dealt, work, "rep long, n long, m long, root long"), "spot-links")
-    drop(cells)
+    drop(cells, kept)
     return out
 
 
@@ -115,3 +148,15 @@ def join_fingerprints(prints: DataFrame, least: float = LEAST) -> DataFrame:
     none = F.lit(None).cast("long")
     nowhere = rows.where("doc_id is null").select("doc_id", none.alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_class_links"), none.alias("component_id"))
     return out.unionByName(nowhere)
+
+
+def join_texts(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """``join_fingerprints`` of documents (doc_id, text); a null text is empty. Texts stay in their tasks: only fingerprints move."""
+
+    def work(batches):
+        for whole in batches:
+            for b in slices(whole, "text"):
+                yield {"doc_id": b["doc_id"], "fingerprint": [as_string(spots(t or "")) for t in b["text"].to_pylist()]}
+
+    prints = stage(map_batches(docs.select("doc_id", "text"), work, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string"), "spot-prints")
+    return join_fingerprints(prints, least)
