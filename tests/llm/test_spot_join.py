@@ -77,7 +77,7 @@ def test_long_copies_meet_once(spark):
     classes = spark.createDataFrame(rows, "rep long, fingerprint string")
     cells = spot_join._cells(classes, 0.8)
     assert cells.count() > 4000
-    assert 0 < spot_join._met(cells).count() <= 2 * 2**4
+    assert 0 < spot_join._met(cells).select("spot", "cell").distinct().count() <= 2 * 2**4
     found = spot_join.join_fingerprints(classes.withColumnRenamed("rep", "doc_id")).collect()
     assert {(r.n_links, r.component_id) for r in found} == {(3, 0)}
 
@@ -92,3 +92,15 @@ def test_query_equals_all_pairs(spark, tmp_path):
     bags = {i: set(spotsigs.spots(t or "").tolist()) for i, t in rows}
     alike = lambda a, b: a == b or (a and b and len(a & b) / len(a | b) >= 0.8 - 1e-9)
     assert {i: r.n_links for i, r in found.items()} == {i: sum(j != i and bool(alike(bags[i], bags[j])) for j in bags) for i in bags}
+
+
+def test_bits_bound_the_difference():
+    rng = random.Random(4)
+    for _ in range(200):
+        size = rng.randrange(1, 400)
+        bags = [sorted({rng.randrange(1 << 32) for _ in range(size)}) for _ in range(2)]
+        bags.append(sorted({*bags[0][: size // 2], *bags[1]}))
+        arrays = [spot_join.np.array(b, dtype=spot_join.np.uint32) for b in bags]
+        bits = spot_join.np.stack([spot_join.bits_of(a, 20, 0.8) for a in arrays])
+        apart = spot_join.unshared(bits)
+        assert all(apart[i, j] <= len(set(bags[i]) ^ set(bags[j])) for i in range(3) for j in range(3))
