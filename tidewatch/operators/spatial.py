@@ -39,42 +39,87 @@ def _cells(df: DataFrame, km: float, around: bool) -> DataFrame:
     return df.withColumn("_cell", cell(row, 0))
 
 
-def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """Pairs of ``left`` (id, lat, lon) and ``right`` (other_id, lat, lon) at most ``km`` apart, with ``km``, anywhere on the globe.
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` over all tasks: a small file is one task, whatever its rows meet."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _pairs(left: DataFrame, right: DataFrame, km: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``left`` and ``right`` (lat, lon and more, the right ones as _lat, _lon) of equal ``keys`` at most ``km`` apart, with ``km``.
 
     The right side is put in its nine neighbouring cells, so that one equi-join finds every pair.
     """
-    there = _cells(right.select("other_id", "lat", "lon"), km, True).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
-    pairs = _cells(left, km, False).join(there, "_cell")
-    return pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("km") <= km).drop("_cell", "_lat", "_lon")
+    there = _cells(right, km, True).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+    met = _spread(_cells(left, km, False)).join(there, ["_cell", *keys])
+    return met.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("km") <= km).drop("_cell")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, start_km: float, most_km: float = 20040.0) -> DataFrame:
-    """The ``k`` nearest of ``right`` for each of ``left`` (id, other_id, km, place), exactly.
+def within_km(left: DataFrame, right: DataFrame, km: float, digits: int | None = None, most: int = 1000) -> DataFrame:
+    """Pairs of ``left`` (id, lat, lon) and ``right`` (other_id, lat, lon) at most ``km`` apart, with ``km`` (rounded to ``digits``), anywhere on the globe.
 
-    A point is settled once ``k`` others lie within the radius; the rest are tried at twice the radius. What a round finds and what
-    it leaves open are tables in the shared folder, so that no round repeats the ones before; the result reads the found ones.
+    Right rows of one position meet a left row as one, in lists of about ``most`` ids, so that distances are those of positions; the lists are
+    unfolded last. There are as many rows as pairs.
     """
-    spark, folder = left.sparkSession, f"{shared_dir(left.sparkSession)}/nearest-{uuid.uuid4().hex}"
+    spot = ["lat", "lon"]
+    there = right.select("other_id", *spot)
+    busy = there.groupBy(*spot).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*spot, F.ceil(F.col("n") / most).cast("int").alias("_parts"))
+    there = there.join(F.broadcast(busy), spot, "left").withColumn("_part", F.pmod(F.xxhash64("other_id"), F.coalesce("_parts", F.lit(1))))
+    there = there.groupBy(*spot, "_part").agg(F.collect_list(F.struct("other_id")).alias("_others")).drop("_part")
+    pairs = _pairs(left, there, km).select(*left.columns, "km", "_others")
+    if digits is not None:
+        pairs = pairs.withColumn("km", F.round("km", digits))
+    unfolded = pairs.withColumn("_other", F.explode("_others"))
+    return unfolded.select(*left.columns, "_other.other_id", "km")
+
+
+def _first_radius(left: DataFrame, right: DataFrame, km: float, each: float, keys: tuple[str, ...] = ()) -> float:
+    """``km`` halved until the rows that share a cell make at most ``each`` pairs a row on average, or a metre is reached."""
+    rows = left.count() + right.count()
+    while km > 0.002:
+        here, there = (_cells(df, km, False).groupBy("_cell", *keys).agg(F.count(F.lit(1)).alias(n)) for df, n in ((left, "_l"), (right, "_r")))
+        pairs = here.join(there, ["_cell", *keys]).agg(F.sum(F.col("_l").cast("double") * F.col("_r"))).first()[0] or 0.0
+        if pairs <= each * rows:
+            break
+        km /= 2 ** min(4, max(1, math.ceil(math.log2(pairs / (each * rows)) / 2)))
+    return km
+
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+class _Tables:
+    """Tables of one search in the shared folder, so that no round repeats the ones before."""
 
-    settled, open_, km, at = None, left.select("id", "lat", "lon"), start_km, 0
-    of_id, last = Window.partitionBy("id"), False
+    def __init__(self, spark, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, start_km: float, most_km: float = 20040.0) -> DataFrame:
+    """The ``k`` nearest of ``right`` for each of ``left`` (id, other_id, km, place), exactly.
+
+    Positions of ``left`` are searched once, and a position of ``right`` has its ``k`` least ids. A position is settled once ``k`` others lie within the
+    radius; the rest are tried at twice the radius. The first radius is ``start_km`` or, where that would meet too many, a fraction of it. What a round finds
+    and leaves open are tables in the shared folder; the result reads the found ones.
+    """
+    spot, tables = ["lat", "lon"], _Tables(left.sparkSession, "nearest")
+    least = F.row_number().over(Window.partitionBy(*spot).orderBy("other_id"))
+    there = right.select("other_id", *spot).where("lat is not null and lon is not null").withColumn("_k", least).where(F.col("_k") <= k).drop("_k")
+    there = tables.kept(there, "right")
+    open_ = tables.kept(left.select(*spot).where("lat is not null and lon is not null").distinct(), "left")
+    settled, km, at = None, _first_radius(open_, there, start_km, 2.0 * k), 0
+    of_spot, last = Window.partitionBy(*spot), False
     while not last:
         last = km * 2 > most_km
-        found = within_km(open_, right, km).select("id", "other_id", "km")
-        ranked = found.withColumn("place", F.row_number().over(of_id.orderBy("km", "other_id"))).where(F.col("place") <= k)
-        ranked = kept(ranked.withColumn("_n", F.count(F.lit(1)).over(of_id)), f"found-{at}")
+        ranked = _pairs(open_, there, km).select(*spot, "other_id", "km").withColumn("place", F.row_number().over(of_spot.orderBy("km", "other_id"))).where(F.col("place") <= k)
+        ranked = tables.kept(ranked.withColumn("_n", F.count(F.lit(1)).over(of_spot)), f"found-{at}")
         part = ranked if last else ranked.where(F.col("_n") >= k)
         settled = part.drop("_n") if settled is None else settled.unionByName(part.drop("_n"))
         if not last:
-            open_ = kept(open_.join(part.where(F.col("place") == 1).select("id"), "id", "left_anti"), f"open-{at}")
+            open_ = tables.kept(open_.join(part.where(F.col("place") == 1).select(*spot), spot, "left_anti"), f"open-{at}")
             last = open_.limit(1).count() == 0
         km, at = km * 2, at + 1
-    return settled
+    return _spread(left.select("id", *spot)).join(settled, spot).select("id", "other_id", "km", "place")
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, km: float, seconds: float, hot: int = 50_000) -> DataFrame:
