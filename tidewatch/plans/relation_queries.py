@@ -34,8 +34,7 @@ def nearest_shelters(spark, sf):
 
 def radius_join(spark, sf):
     """Suppliers within 50 km of every customer."""
-    near = spatial.within_km(_customers(spark, sf), _suppliers(spark, sf), 50.0)
-    return near.select("id", "other_id", F.round("km", 3).alias("km"))
+    return spatial.within_km(_customers(spark, sf), _suppliers(spark, sf), 50.0, 3).select("id", "other_id", "km")
 
 
 def space_time_nearest(spark, sf):
