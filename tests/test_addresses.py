@@ -38,3 +38,13 @@ def test_without_rules_and_long_texts(spark):
     assert addresses.address_rows(df, addresses.Rules(before={})).count() == 0
     assert addresses.address_rows(df.where("id = 2"), RULES).count() == 3000
     assert addresses.address_rows(df.where("id = 1"), RULES).count() >= 0
+
+
+def test_reports_of_a_small_file_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    from tidewatch.plans import place_queries
+    from tests.conftest import SF
+
+    at = place_queries._address_texts(spark, SF).groupBy(F.spark_partition_id()).count().collect()
+    assert len(at) == int(spark.conf.get("spark.sql.shuffle.partitions"))

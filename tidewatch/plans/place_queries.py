@@ -107,7 +107,8 @@ def _address_texts(spark, sf) -> DataFrame:
         .when(k % 4 == 2, F.concat(F.lit("stopped on "), name, F.lit(" road at "), k % 40 + 1, city))
         .otherwise(F.concat(F.lit("no street"), city))
     )
-    return _read(spark, sf, "customer").select(k.alias("id"), line.alias("text"))
+    keys = _read(spark, sf, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small file would be one task
+    return keys.select(k.alias("id"), line.alias("text"))
 
 
 def smoothed_tracks(spark, sf):
