@@ -56,3 +56,15 @@ def test_radius_join_of_crowded_positions(spark, most):
     want = [(x[0], y[0], round(km(x, y), 3)) for x in left[:-1] for y in right[:-1] if km(x, y) <= 15]
     key = lambda r: (r[0], -1 if r[1] is None else r[1], r[2])
     assert sorted(((r.id, r.other_id, r.km) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_nearest_in_time_of_one_crowd(spark):
+    """20,000 by 20,000 rows at two positions within the reach of each other: pairs would be 4e8. Times are a step apart, so the least id in reach is the first in time."""
+    began = time.time()
+    n = spark.range(20_000).withColumnRenamed("id", "n")
+    rows = n.select("n", (F.col("n") * 2.0).alias("t"), F.lit(50.0).alias("lat"), (F.lit(30.0) + F.col("n") % 2 / 1000.0).alias("lon"))
+    got = spatial.nearest_in_time(rows.withColumnRenamed("n", "id"), rows.withColumnRenamed("n", "other_id"), 60.0, 10_000.0, 1000)
+    # Ids of the same remainder are at distance 0; 5,000 steps of two seconds reach back.
+    least = F.greatest(F.col("id") % 2, F.col("id") - 5000)
+    assert got.count() == got.where((F.col("other_id") == least) & (F.col("km") == 0)).count() == 20_000
+    assert time.time() - began < 90

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.geo import RADIUS_KM, haversine_km
@@ -29,14 +29,12 @@ def _cells(df: DataFrame, km: float, around: bool) -> DataFrame:
         reach = F.when(far + size >= 90, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(math.radians(min(size, 89.9)))) / F.cos(F.radians(F.least(far + size, F.lit(89.999))))))))
         return F.greatest(F.floor(360.0 / reach), F.lit(1)).cast("long")
 
-    def cell(r, shift):
-        n = columns(r)
-        at = F.floor((F.pmod(F.col("lon") + 180.0, F.lit(360.0))) / 360.0 * n).cast("long")
-        return F.struct(r.alias("r"), F.pmod(at + shift, n).alias("c"))
-
-    if around:
-        return df.withColumn("_cell", F.explode(F.array_distinct(F.array(*(cell(row + i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))))))
-    return df.withColumn("_cell", cell(row, 0))
+    # Rows and columns are unfolded one after the other, so that a band's columns are counted once a row.
+    rows = df.withColumn("_r", F.explode(F.array(row - 1, row, row + 1)) if around else row).withColumn("_n", columns(F.col("_r")))
+    rows = rows.withColumn("_c", F.floor((F.pmod(F.col("lon") + 180.0, F.lit(360.0))) / 360.0 * F.col("_n")).cast("long"))
+    column = lambda shift: F.pmod(F.col("_c") + shift, F.col("_n"))
+    rows = rows.withColumn("_c", F.explode(F.array_distinct(F.array(*(column(j) for j in (-1, 0, 1))))) if around else column(0))
+    return rows.withColumn("_cell", F.struct(F.col("_r").alias("r"), F.col("_c").alias("c"))).drop("_r", "_n", "_c")
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -44,13 +42,15 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _pairs(left: DataFrame, right: DataFrame, km: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``left`` and ``right`` (lat, lon and more, the right ones as _lat, _lon) of equal ``keys`` at most ``km`` apart, with ``km``.
+def _pairs(left: DataFrame, right: DataFrame, km: float, **also: Column) -> DataFrame:
+    """``left`` and ``right`` (lat, lon and more, the right ones as _lat, _lon) at most ``km`` apart, with ``km``; a column of ``left`` named in ``also`` is in that array of the right row.
 
     The right side is put in its nine neighbouring cells, so that one equi-join finds every pair.
     """
     there = _cells(right, km, True).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
-    met = _spread(_cells(left, km, False)).join(there, ["_cell", *keys])
+    for key, values in also.items():
+        there = there.withColumn(key, F.explode(values))
+    met = _spread(_cells(left, km, False)).join(there, ["_cell", *also])
     return met.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("km") <= km).drop("_cell")
 
 
@@ -125,18 +125,45 @@ def nearest(left: DataFrame, right: DataFrame, k: int, start_km: float, most_km:
 def nearest_in_time(left: DataFrame, right: DataFrame, km: float, seconds: float, hot: int = 50_000) -> DataFrame:
     """For each of ``left`` (id, t seconds, lat, lon) the nearest of ``right`` (other_id, t, lat, lon) within ``km`` and ``seconds``, anywhere on the globe.
 
-    Rows meet by cell and span of clock time, the right ones in the cells and spans around theirs. A cell and span with more than ``hot`` left rows is
-    dealt to several parts, with its right rows in each; there are fewer such cells than the left rows over ``hot``. Of what a part finds only the best of each row goes on.
+    Right rows of a position and a span of ``seconds`` are one, with their first and last time: a left row's own span lies wholly within its reach, and of the
+    spans before and behind the last and the first time tell whether any does. So the least distance is found, by radii that double from one that suits the density
+    up to ``km``. The least ``other_id`` at that distance is a running minimum along the times of each such position and span, first to last or last
+    to first; one with more than ``hot`` left rows is dealt to several parts, with its right rows in each. Times count in whole microseconds.
     Distances are compared in whole metres, then the smaller ``other_id`` wins; a row without partner is left out.
     """
-    slot = F.floor(F.col("t") / seconds)
-    here = _cells(left.select("id", F.col("t").cast("double").alias("t"), "lat", "lon").where("lat is not null and lon is not null and t is not null"), km, False).withColumn("_slot", slot)
-    there = _cells(right.select("other_id", F.col("t").cast("double").alias("_t"), "lat", "lon").where("lat is not null and lon is not null and t is not null"), km, True)
-    there = there.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}).withColumn("_slot", F.explode(F.array(*(F.floor(F.col("_t") / seconds) + k for k in (-1, 0, 1)))))
-    busy = here.groupBy("_cell", "_slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("_cell", "_slot", F.ceil(F.col("n") / hot).cast("int").alias("_parts"))
+    spot, tables, reach = ["lat", "lon"], _Tables(left.sparkSession, "nearest-in-time"), round(seconds * 1_000_000)
+    span, us = max(1, reach), F.round(F.col("t") * 1_000_000).cast("long")
+    timed = lambda df, c: df.where("lat is not null and lon is not null and abs(cast(t as double)) < 9e12").select(c, *spot, us.alias("us")).withColumn("slot", F.col("us") - F.pmod("us", F.lit(span)))
+    there = tables.kept(timed(right, "other_id"), "right")
+    spans = tables.kept(there.groupBy(*spot, "slot").agg(F.min("us").alias("_first"), F.max("us").alias("_last")), "spans")
+    around = spans.withColumnRenamed("slot", "_slot")
+    slots = F.array(*(F.col("_slot") + i * span for i in (-1, 0, 1)))
+    open_ = tables.kept(timed(left, "id"), "left")
+    radius, at, asked = _first_radius(open_, spans, km, 0.5, ("slot",)), 0, None
+    while True:
+        wide = radius + 0.001
+        met = (F.col("_slot") == F.col("slot")) | ((F.col("_slot") < F.col("slot")) & (F.col("_last") >= F.col("us") - reach)) | ((F.col("_slot") > F.col("slot")) & (F.col("_first") <= F.col("us") + reach))
+        near = _pairs(open_, around, wide, slot=slots).where(met).withColumn("_least", F.min("km").over(Window.partitionBy("id", "us", *spot))).where(F.col("km") <= F.col("_least") + 0.002)
+        near = near.withColumn("best", F.round("_least", 3)).where((F.round("km", 3) == F.col("best")) & (F.col("best") <= radius)).select("id", "us", "slot", *spot, "best", "_lat", "_lon", "_slot")
+        best = tables.kept(near, f"best-{at}")
+        asked = best if asked is None else asked.unionByName(best)
+        if radius >= km:
+            break
+        open_ = tables.kept(open_.join(best.select("id", "us", *spot), ["id", "us", *spot], "left_anti"), f"open-{at}")
+        if open_.limit(1).count() == 0:
+            break
+        radius, at = min(km, radius * 2), at + 1
+    # Rows of the span before count from the left row's time minus the reach on, those of its own span and the next up to its time plus the reach.
+    back = F.col("_slot") < F.col("slot")
+    key = ["_lat", "_lon", "_slot", "_back"]
+    asked = asked.select("id", "best", "_lat", "_lon", "_slot", back.alias("_back"), F.when(back, reach - F.col("us")).otherwise(F.col("us") + reach).alias("_at"))
+    asked = tables.kept(asked, "asked")
+    rows = there.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("slot").alias("_slot"), F.explode(F.array(F.lit(True), F.lit(False))).alias("_back"), "us", "other_id")
+    rows = rows.withColumn("_at", F.when(F.col("_back"), -F.col("us")).otherwise(F.col("us"))).drop("us")
+    busy = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(*key, F.ceil(F.col("n") / hot).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
-    here = here.join(F.broadcast(busy), ["_cell", "_slot"], "left").withColumn("_part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("_parts")
-    there = there.join(F.broadcast(busy), ["_cell", "_slot"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    away = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), 3)
-    pairs = here.join(there, ["_cell", "_slot", "_part"]).where(F.abs(F.col("t") - F.col("_t")) <= seconds).withColumn("km", away).where(F.col("km") <= km)
-    return pairs.groupBy("id").agg(F.min(F.struct("km", "other_id")).alias("m")).select("id", "m.other_id", "m.km")
+    asked = asked.join(F.broadcast(busy), key, "left").withColumn("_part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("_parts")
+    rows = rows.join(F.broadcast(busy), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    up_to = Window.partitionBy(*key, "_part").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    every = asked.withColumn("_asked", F.lit(True)).unionByName(rows, allowMissingColumns=True).withColumn("_least", F.min("other_id").over(up_to)).where("_asked")
+    return every.groupBy("id").agg(F.min(F.struct(F.col("best").alias("km"), F.col("_least").isNull(), F.col("_least").alias("other_id"))).alias("m")).select("id", "m.other_id", "m.km")
