@@ -319,7 +319,8 @@ def with_codes(incidents: DataFrame) -> DataFrame:
 def with_assets(incidents: DataFrame, assets: DataFrame, km: float = 1.2) -> DataFrame:
     """``incidents`` with ``asset``: kind, name and metres of the nearest of ``assets`` (asset_id, kind, name, lat, lon), for types that harm; null where none is near."""
     at = incidents.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("event_type").isin(*ASSET_TYPES)).select(F.col("incident").alias("id"), "region", "lat", "lon")
-    near = within_km(at, assets.select(F.col("asset_id").alias("other_id"), "lat", "lon"), km)
+    # Of the assets at one position only the least id can be an incident's nearest.
+    near = within_km(at, assets.groupBy("lat", "lon").agg(F.min("asset_id").alias("other_id")), km)
     best = near.groupBy("region", "id").agg(F.min(F.struct("km", "other_id")).alias("b")).select("region", F.col("id").alias("incident"), "b.km", F.col("b.other_id").alias("asset_id"))
     named = best.join(assets.select("asset_id", F.col("kind").alias("_kind"), F.col("name").alias("_name")), "asset_id")
     label = F.concat(F.col("_kind"), F.lit(": "), F.col("_name"), F.lit(" ("), F.floor(F.col("km") * 1000).cast("string"), F.lit(" m)"))
