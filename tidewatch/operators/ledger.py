@@ -103,8 +103,9 @@ class Ledger:
     def find(self, r: dict) -> int | None:
         best, cell = -1, self._cell(r)
         if cell is not None:
-            for y in (-1, 0, 1):
-                for x in (-1, 0, 1):
+            # The report's own cell first: what it finds there bounds how far back the cells around are looked through.
+            for y in (0, -1, 1):
+                for x in (0, -1, 1):
                     for key in reversed(self.cells.get((cell[0] + y, cell[1] + x), ())):
                         if key < best:
                             break
